@@ -4,9 +4,10 @@ Documents are encoded, closed by an end id, and cut into pieces of at most
 ``size`` ids (only longer documents are cut). Pieces are dealt to partitions of
 about ``PART`` pieces by hash. Each partition packs its pieces by best-fit
 decreasing and bounds its bin count from below by dual feasible functions; a
-partition whose count equals the bound is certified optimal and is left alone.
-Partitions with a gap give up the pieces of their bins that are not full, the
-given-up pieces are dealt anew across those partitions, and best-fit decreasing
+partition whose count equals the bound is certified optimal by itself.
+Partitions with a gap give up the pieces of their bins that are not full, all
+partitions those of bins with an eighth free (the last ones, which a partition
+alone can't fill); the given-up pieces are dealt anew and best-fit decreasing
 runs again; the new bins replace the old ones where they are fewer. This
 repeats while bins are saved. Only totals reach the driver.
 
@@ -127,15 +128,16 @@ def pack_pieces(rows: DataFrame, size: int = SIZE, part: int = PART, rounds: int
     base = [x.split()[0] for x in _PIECES.split(", ")]
     current, done = _packed(rows, size, part, 0), None
     n_bins = lambda df: df.where("offset = 0").count()  # noqa: E731  every bin has one piece at 0
+    is_open = f"spare > 0 and (gap > 0 or spare >= {max(1, size // 8)})"
     for turn in range(1, rounds + 1):
-        opened = current.where("gap > 0 and spare > 0")
+        opened = current.where(is_open)
         old = n_bins(opened)
         if old < 2:
             break
         again = _packed(opened.select(base), size, part, turn)
         if n_bins(again) >= old:
             break
-        kept = current.where("not (gap > 0 and spare > 0)")
+        kept = current.where(f"not ({is_open})")
         done = kept if done is None else done.unionByName(kept)
         current = again
     return (current if done is None else done.unionByName(current)).drop("spare")
