@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language_id, packing, quality_rules, secrets
+from . import bpe, language_id, packing, quality_rules, secrets, toxicity
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.digest(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_bpe": op6_bpe,
+    "op7_toxicity": op7_toxicity,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
 }
