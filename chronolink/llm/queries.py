@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, importance, language_id, packing, quality_rules, secrets, toxicity
+from . import bpe, importance, language_id, packing, quality_rules, secrets, substring_dedup, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_substring_dedup": op2_substring_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_bpe": op6_bpe,
     "op7_toxicity": op7_toxicity,
@@ -47,4 +52,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
 }
-ORACLE: dict[str, str] = {"op9_quality_rules": quality_rules.ORACLE_SQL}
+ORACLE: dict[str, str] = {"op2_substring_dedup": substring_dedup.ORACLE_SQL, "op9_quality_rules": quality_rules.ORACLE_SQL}
