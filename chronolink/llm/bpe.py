@@ -15,12 +15,16 @@ empty: no ids. Ties and repeated rows need no care: every row stands alone.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
+import re
+import struct
 import tempfile
 import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -58,6 +62,16 @@ def _tokens(path: str) -> dict[int, str]:
     return {i: t for t, i in _tokenizer(path).get_vocab(with_added_tokens=True).items()}
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without the cycle collector: tables of words hold no cycles, and walking through them takes as long as the work itself."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def frequent_words(docs: DataFrame, text_col: str = "text", n: int = LEXICON_WORDS, task_words: int = TASK_WORDS) -> list[bytes]:
     """The n most frequent words of all texts. Each task counts all its words, in a table that is cut back to its
     ``task_words`` most frequent ones when four times as many are in it, so a count can fall short by what was cut;
@@ -92,11 +106,48 @@ def compile_lexicon(docs: DataFrame, text_col: str, path: str) -> str:
     return name
 
 
+#: Letters below U+0250 (NFC, lower case and class of these are the same everywhere), and words that hold nothing else but ASCII.
+_LATIN = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1 and c.lower() < "\u0250")
+_PLAIN = re.compile(f"[{_LATIN}\x21-\x26\x28-\x7e]+")  # no apostrophe: contractions are cut elsewhere
+_PIECE = re.compile(f"[{_LATIN}]+|[0-9]|[^{_LATIN}0-9]+")
+
+
+def _byte_chars() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for code points from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_BYTES = {b: c for b, c in _byte_chars().items()}
+
+
+class Recent(dict):
+    """A table of what was met last: beyond ``most`` entries it becomes the older generation, whose entries come back when asked for."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.older = most, {}
+
+    def turn(self) -> None:
+        if len(self) > self.most:
+            self.older = dict(self)
+            self.clear()
+
+    def recall(self, keys: set) -> set:
+        """The keys that are in neither generation; those of the older one move here."""
+        missing = keys.difference(self)
+        for k in [k for k in missing if k in self.older]:
+            self[k] = self.older[k]
+            missing.discard(k)
+        return missing
+
+
 class Codec:
     """Encodes words through the lexicon, else by exact merges, remembering ``form(ids)`` of each word."""
 
     def __init__(self, path: str, lexicon: str | None, form: Callable[[list[int]], object]) -> None:
-        self.tokenizer, self.form, self.cache = _tokenizer(path), form, {}
+        self.tokenizer, self.form = _tokenizer(path), form
+        self.cache, self.pieces = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
         self.lexicon = _lexicon(lexicon) if lexicon else None
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -107,20 +158,15 @@ class Codec:
         for ws in split:
             if ws:
                 fresh.update(ws)
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        fresh.difference_update(self.cache)
+        self.cache.turn()
         unseen = []
-        for w in fresh:
+        for w in self.cache.recall(fresh):
             ids = self.lexicon.get(w) if self.lexicon else None
             if ids is None:
                 unseen.append(w)
             else:
                 self.cache[w] = self.form(ids)
-        for lo in range(0, len(unseen), 20_000):
-            part = unseen[lo : lo + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.cache[w] = self.form(e.ids)
+        self._merge(unseen)
         get = self.cache.__getitem__
         for k, ws in enumerate(split):
             if ws is None:
@@ -128,6 +174,26 @@ class Codec:
             else:
                 yield list(map(get, ws))
 
+    def _merge(self, unseen: list[bytes]) -> None:
+        """Words of Latin letters and ASCII are cut into the pre-tokenizer's pieces here, and each new piece is merged by the
+        vocabulary's model; any other word goes through the whole tokenizer."""
+        split, other, pieces, model = [], [], self.pieces, self.tokenizer.model
+        for w in unseen:
+            s = w.decode()
+            if _PLAIN.fullmatch(s):
+                split.append((w, _PIECE.findall(s.lower())))
+            else:
+                other.append(w)
+        pieces.turn()
+        for p in pieces.recall({p for _, ps in split for p in ps}):
+            pieces[p] = tuple([t.id for t in model.tokenize(p if p.isascii() else "".join(map(_BYTES.__getitem__, p.encode())))])
+        for w, ps in split:
+            self.cache[w] = self.form(pieces[ps[0]] if len(ps) == 1 else [i for p in ps for i in pieces[p]])
+        for lo in range(0, len(other), 20_000):
+            part = other[lo : lo + 20_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                self.cache[w] = self.form(e.ids)
+
 
 def _run(docs: DataFrame, text_col: str, fields: list[T.StructField], form: Callable, rows: Callable, path: str | None, use_lexicon: bool) -> DataFrame:
     path = path or tokenizer_path()
@@ -136,9 +202,10 @@ def _run(docs: DataFrame, text_col: str, fields: list[T.StructField], form: Call
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         codec = Codec(path, name, form(path))
-        for batch in batches:
-            for part in text.slices(batch, text_col):
-                yield appended(part, **rows(codec.encode_slice(part.column(part.schema.get_field_index(text_col)))))
+        with uncollected():
+            for batch in batches:
+                for part in text.slices(batch, text_col):
+                    yield appended(part, **rows(codec.encode_slice(part.column(part.schema.get_field_index(text_col)))))
 
     return extend(without(docs, *[f.name for f in fields]), fields, run)
 
@@ -153,7 +220,11 @@ def encode(docs: DataFrame, text_col: str = "text", result: str = "ids", path: s
 
 
 def id_bytes(ids: list[int]) -> bytes:
-    return np.asarray(ids, "<u4").tobytes()
+    """Little-endian unsigned 32-bit ids."""
+    return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else np.asarray(ids, "<u4").tobytes()
+
+
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(24)]
 
 
 def decode(df: DataFrame, ids_col: str = "ids", result: str = "decoded", path: str | None = None) -> DataFrame:

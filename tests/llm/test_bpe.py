@@ -30,6 +30,15 @@ def test_lexicon_is_minimal():
     assert lex.n_states == 5  # t, then a or o to one state, then p (final), then s
 
 
+def test_all_characters_one_by_one(spark):
+    chars = [chr(c) for c in range(1, 0x260)] + ["ſ", "K", "İ", "ﬀ", "\u2028", "\u3000", "\ufeff", "٣", "²"]
+    texts = [x for c in chars for x in (f"a{c}b", f"{c}{c} 1{c}A", f"it{c}s")]
+    t = Tokenizer.from_file(tokenizer_path())
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    for r in bpe.encode(docs, use_lexicon=False).collect():
+        assert r.ids == t.encode(r.text, add_special_tokens=False).ids, repr(r.text)
+
+
 def test_digest_and_round_trip_equal_the_library(spark):
     t = Tokenizer.from_file(tokenizer_path())
     docs = spark.createDataFrame([(i, x, "q") for i, x in enumerate(TEXTS)], "doc_id long, text string, ids string")
