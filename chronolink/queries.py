@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import adequacy, consensus, correlation, diagnostics, discovery, evaluation, fdr, memory, quality, stability, surrogates, transforms
+from .operators import adequacy, chartdata, consensus, correlation, diagnostics, discovery, evaluation, fdr, memory, quality, stability, surrogates, transforms
+from .plans import router
 from .schema import IDX, TS, UNIT, normalise_edges
 from .sources import io, views
 from .sources.views import sql
@@ -862,3 +863,82 @@ def _(spark, sf):
 def _(spark, sf):
     e = literal(spark)
     return stability.preserved(e.where("method = 'Granger'"), e.where("method = 'TransferEntropy'"))
+
+
+# ---- chart data --------------------------------------------------------------------------------------------------------
+
+
+@query("chart_ccf", sql("planted") + f""", g AS (SELECT unnest(range(-5, 6)) AS k), z AS (SELECT t_idx, ("X" - avg("X") OVER ()) / stddev_pop("X") OVER () AS x, ("Y" - avg("Y") OVER ()) / stddev_pop("Y") OVER () AS y FROM planted)
+SELECT 'all' AS unit_id, CAST(k AS INTEGER) AS lag, {R('sum(a.x * b.y) / (SELECT count(*) FROM z)')} AS ccf FROM g JOIN z a ON true JOIN z b ON b.t_idx = a.t_idx + k GROUP BY k""")
+def _(spark, sf):
+    return chartdata.cross_correlation(views.planted(spark, sf), "X", "Y", 5)
+
+
+@query("chart_p_histogram", "SELECT l_returnflag, CAST(greatest(0, least(9, floor(l_discount / 0.011))) AS INTEGER) AS bin, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def _(spark, sf):
+    return chartdata.histogram(views.read(spark, sf, "lineitem"), "l_discount", 10, ["l_returnflag"], 0.0, 0.11).drop("left")
+
+
+@query("chart_degrees", f"WITH {_LIT_SQL}, s AS (SELECT DISTINCT source, target FROM e WHERE p_value < 0.05), v AS (SELECT source AS v, 1 AS o, 0 AS i FROM s UNION ALL SELECT target, 0, 1 FROM s) SELECT v AS variable, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree, CASE WHEN sum(i) = 0 THEN 'source' WHEN sum(o) = 0 THEN 'sink' ELSE 'intermediate' END AS role FROM v GROUP BY 1")
+def _(spark, sf):
+    return chartdata.degrees(literal(spark))
+
+
+@query("chart_lag_distribution", f"WITH {_LIT_SQL}, g AS (SELECT method, lag_steps, count(*) AS n FROM e WHERE is_significant GROUP BY 1, 2) SELECT method, lag_steps, n, {R('sum(n) OVER (PARTITION BY method ORDER BY lag_steps) / sum(n) OVER (PARTITION BY method)')} AS ecdf, lag_steps - lag(lag_steps) OVER (PARTITION BY method ORDER BY lag_steps) AS gap FROM g")
+def _(spark, sf):
+    return chartdata.lag_distribution(literal(spark))
+
+
+@query("chart_fdr_curve", f"WITH {_LIT_SQL} SELECT method, CAST(row_number() OVER w AS INTEGER) AS rank, {R('p_value')} AS p_value, {R('q_value')} AS q_value, {R('row_number() OVER w / (count(*) OVER (PARTITION BY method) + 1)')} AS uniform, {R('row_number() OVER w / count(*) OVER (PARTITION BY method) * 0.05::DOUBLE')} AS line FROM e WHERE p_value IS NOT NULL WINDOW w AS (PARTITION BY method ORDER BY p_value, source, target, lag_steps)")
+def _(spark, sf):
+    return chartdata.fdr_curve(literal(spark))
+
+
+@query("chart_flow", f"WITH {_LIT_SQL} SELECT source, target, lag_steps, {R('effect_size')} AS effect_size, {R('(effect_size - min(effect_size) OVER ()) / (max(effect_size) OVER () - min(effect_size) OVER ())')} AS width, count(*) OVER (PARTITION BY target) AS in_degree FROM e")
+def _(spark, sf):
+    return chartdata.flow(literal(spark), "effect_size")
+
+
+@query("chart_independence_matrix", f"WITH {_LIT_SQL} SELECT source, " + ", ".join(f"{R(f'max(-log10(p_value + 1e-10)) FILTER (target = {chr(39)}{n}{chr(39)})')} AS \"{n}\"" for n in ["A", "B", "C", "X", "Y", "Z"]) + " FROM e GROUP BY 1")
+def _(spark, sf):
+    return chartdata.independence_matrix(literal(spark), ["A", "B", "C", "X", "Y", "Z"])
+
+
+@query("chart_method_comparison", f"WITH {_LIT_SQL} SELECT method, count(*) AS n_edges, count(*) FILTER (is_significant) AS n_significant, {R('avg(p_value)')} AS mean_p, {R('median(p_value)')} AS median_p FROM e GROUP BY 1")
+def _(spark, sf):
+    return chartdata.method_comparison(literal(spark))
+
+
+@query("chart_agreement_matrix", _CONS + " SELECT source, target, CAST(lag_steps AS INTEGER) AS lag_steps, CAST(contains(agreeing_methods, 'Granger') AS INTEGER) AS \"Granger\", CAST(contains(agreeing_methods, 'TransferEntropy') AS INTEGER) AS \"TransferEntropy\", CAST(contains(agreeing_methods, 'PCMCI+') AS INTEGER) AS \"PCMCI+\" FROM r")
+def _(spark, sf):
+    return chartdata.agreement_matrix(consensus.consensus(literal(spark)), ["Granger", "TransferEntropy", "PCMCI+"])
+
+
+@query("chart_scatter_line", sql("planted") + f""", l AS (SELECT lag("X", 2) OVER (ORDER BY t_idx) AS x, "Y" AS y FROM planted), k AS (SELECT * FROM l WHERE l.x IS NOT NULL) SELECT 'all' AS unit_id, 'X' AS source, 'Y' AS target, {R('regr_slope(y, x)')} AS slope, {R('regr_intercept(y, x)')} AS intercept, {R('corr(x, y)')} AS r FROM k""")
+def _(spark, sf):
+    return chartdata.scatter_line(views.planted(spark, sf), [("X", "Y")], 2)
+
+
+@query("chart_spectrum")
+def _(spark, sf):
+    return chartdata.spectrum(views.planted(spark, sf), "X", "Y")
+
+
+@query("chart_partial_network")
+def _(spark, sf):
+    return chartdata.network(views.planted(spark, sf), PL, 0.1)
+
+
+@query("router_decisions")
+def _(spark, sf):
+    return router.decide(views.planted(spark, sf), PAIRS)
+
+
+@query("router_run")
+def _(spark, sf):
+    return router.decide_and_run(views.planted(spark, sf), PL, PAIRS)
+
+
+@query("content_hash", "SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5(coalesce(CAST(n_nationkey AS VARCHAR), '') || '|' || n_name || '|' || CAST(n_regionkey AS VARCHAR)), 1, 15) AS BIGINT)) AS VARCHAR) AS hash FROM nation")
+def _(spark, sf):
+    return io.content_hash(views.read(spark, sf, "nation"))
