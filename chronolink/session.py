@@ -22,6 +22,8 @@ def ship(spark: SparkSession) -> SparkSession:
                 z.write(p, p.relative_to(_ROOT.parent))
         sc.addPyFile(os.path.abspath(path))
         sc._chronolink_shipped = sc.applicationId
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # rows may be long texts
     return spark
 
 
