@@ -1,7 +1,7 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
 Every rule is a column expression that is true where it rejects. A rule's cost
-and selectivity are measured on a sample of at most ``SAMPLE`` rows (time of
+and selectivity are measured on a random sample of about ``SAMPLE`` rows (time of
 one pass that evaluates the rule alone, over the time of a pass that evaluates
 nothing; share of rows that it rejects), rules are ordered by rejections per
 cost, and one CASE expression tries them in that order: a later rule is never
@@ -93,7 +93,8 @@ def _prepared(docs: DataFrame, text_col: str) -> DataFrame:
 
 def ordered(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> list[tuple[Rule, float, float]]:
     """Rules with their cost (seconds a row) and selectivity on the sample, best rejection per cost first."""
-    rows = _prepared(docs.select(F.col(text_col)).limit(sample), text_col).persist()
+    share = min(1.0, sample / max(1, docs.count()))
+    rows = _prepared(docs.select(F.col(text_col)).sample(share, seed=9), text_col).persist()
     n = max(1, rows.count())
     text, found = F.col(text_col), []
 
@@ -120,9 +121,16 @@ def cascade(order: list[Rule]) -> Column:
 
 def judge(docs: DataFrame, text_col: str = "text", result: str = "rejected_by") -> DataFrame:
     """docs with ``result``: the rule that rejects the row, else null. Measures are computed as far as the cascade gets."""
-    docs = without(docs, result)
-    order = [rule for rule, _, _ in ordered(docs, text_col)]
-    return _prepared(docs, text_col).withColumn(result, cascade(order)).drop("_words")
+    docs, text = without(docs, result), F.col(text_col)
+    names = [rule.name for rule, _, _ in ordered(docs, text_col)]
+
+    def verdict(ws: Column) -> Column:
+        by_name = {rule.name: rule for rule in rules(text, measures(text, ws))}
+        return cascade([by_name[n] for n in names])
+
+    # the words are bound inside the expression: as a column of their own, a filter on the result that is pushed below
+    # would cut the text into words anew at every use
+    return docs.withColumn(result, let(words(text), verdict))
 
 
 def digest(docs: DataFrame) -> DataFrame:
