@@ -44,9 +44,9 @@ from .components import components
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS, SKETCH = 20, 4, 1 << 18
-#: Least share of equal samples (of BANDS * ROWS) for a pair to be verified: 4 standard deviations under 0.7, the weighted
-#: similarity that a plain one of 0.8 may come with.
-LEAST_ESTIMATE = 0.5
+#: Least share of equal samples (of BANDS * ROWS) for a pair to be verified: over 4 standard deviations under 0.8, and 2 under
+#: 0.7, the weighted similarity that a plain one of 0.8 may come with in large groups (where other paths join the same class).
+LEAST_ESTIMATE = 0.6
 #: Members of a band that one task compares with those of other components.
 BLOCK = 4096
 _SLICES = 16
@@ -196,10 +196,20 @@ def similarities(left: pa.Array, right: pa.Array, idf: np.ndarray) -> tuple[np.n
     return both_w / np.maximum(all_w, 1e-9), both_n / np.maximum(all_n, 1)
 
 
+#: Ids up to which a set of documents is sent to all tasks (8 bytes each); beyond it, texts are dealt by id.
+BROADCAST_IDS = 1 << 20
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids (distinct)."""
+    ids = checkpointed(ids)
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, similar: float) -> DataFrame:
     """pairs (a, b) with ``linked``, judged on the texts."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)
-    one = docs.select("doc_id", "text")
+    one = _only(docs.select("doc_id", "text"), pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     both = pairs.join(one.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(one.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,35 +246,44 @@ def _stars(keys: DataFrame, sig: DataFrame) -> DataFrame:
     return _agree("a", "b", both)
 
 
-def _across(keys: DataFrame, sig: DataFrame, labels: DataFrame, most: int) -> DataFrame:
-    """Candidates (a, b, more) between different components of a band: for each member and other component the ``most``
+def _mixed(keys: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of keys, with their components, of bands that span several components; n: members of the band, major: the
+    component of its smallest member. Components only grow together, so later rounds need no other bands."""
+    known = keys.select("key", "band", "doc_id").join(labels, "doc_id", "left").select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("label"))
+    mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.min_by("label", "doc_id").alias("major")).where("lo < hi")
+    return known.join(mixed.select("key", "n", "major"), "key")
+
+
+def _across(mixed: DataFrame, sig: DataFrame, most: int) -> DataFrame:
+    """Candidates (a, b, more) between different components of a band: for each member outside the major one the ``most``
     best-agreeing ones; more: whether some were left out. Members outside the smallest member's component meet all
     members, who lie in blocks of about BLOCK."""
-    known = keys.join(labels, "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("label"))
-    mixed = known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n"), F.min_by("label", "doc_id").alias("major")).where("lo < hi")
-    rows = known.join(mixed.select("key", "n", "major"), "key").join(sig.select("doc_id", "sig"), "doc_id")
+    rows = mixed.join(sig.select("doc_id", "sig"), "doc_id")
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    whole = rows.select("key", F.pmod(F.xxhash64("doc_id"), n_blocks).cast("int").alias("block"), "doc_id", "label", "sig", F.lit(False).alias("asks"))
-    minor = rows.where("label <> major").select("key", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"), "doc_id", "label", "sig", F.lit(True).alias("asks"))
+    whole = rows.select("key", "band", F.pmod(F.xxhash64("doc_id"), n_blocks).cast("int").alias("block"), "doc_id", "label", "sig", F.lit(False).alias("asks"))
+    minor = rows.where("label <> major").select("key", "band", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"), "doc_id", "label", "sig", F.lit(True).alias("asks"))
 
     def run(t: pa.Table) -> pa.Table:
         asks = np.asarray(t["asks"])
         ids, label = t["doc_id"].to_numpy(), t["label"].to_numpy()
         s = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        i, j = np.flatnonzero(asks), np.flatnonzero(~asks)
+        i, j, band = np.flatnonzero(asks), np.flatnonzero(~asks), t["band"][0].as_py()
         found = [np.zeros((0, 3), np.int64)]
         for lo in range(0, len(i), 64):
             part = i[lo : lo + 64]
             same = (s[part][:, None, :] == s[j][None, :, :]).mean(2, dtype=np.float32)
             x, y = np.nonzero((same >= LEAST_ESTIMATE) & (label[part][:, None] != label[j][None, :]))
+            # a pair that shares several bands is taken up in the first of them only
+            equal = (s[part[x]] == s[j[y]]).reshape(len(x), BANDS, ROWS).all(2) if len(x) else np.zeros((0, BANDS), bool)
+            first = equal.argmax(1) == band
+            x, y = x[first], y[first]
             if len(x):
-                value, other = same[x, y], label[j[y]]
-                order = np.lexsort((ids[j[y]], -value, other, x))
-                x, y, other = x[order], y[order], other[order]
-                cut = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (other[1:] != other[:-1])))
+                value = same[x, y]
+                order = np.lexsort((ids[j[y]], -value, x))
+                x, y = x[order], y[order]
+                cut = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
                 size = np.diff(np.append(cut, len(x)))
-                rank = np.arange(len(x)) - np.repeat(cut, size)
-                keep = rank < most
+                keep = np.arange(len(x)) - np.repeat(cut, size) < most
                 u, v = ids[part[x[keep]]], ids[j[y[keep]]]
                 found.append(np.stack([np.minimum(u, v), np.maximum(u, v), np.repeat(size > most, size)[keep]], 1))
         out = np.concatenate(found)
@@ -281,20 +300,20 @@ def links(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFra
     sig = checkpointed(signatures(docs, idf))
     reps = sig.where("bands is not null").groupBy("whole").agg(F.min("doc_id").alias("rep"))
     first = checkpointed(sig.where("bands is not null").join(reps.withColumnRenamed("whole", "_w"), (F.col("whole") == F.col("_w")) & (F.col("doc_id") == F.col("rep"))).select("doc_id", "bands", "sig").dropDuplicates(["doc_id"]))
-    keys = first.select("doc_id", F.explode("bands").alias("key"))
+    keys = first.select("doc_id", F.posexplode("bands").alias("band", "key"))
     # bands of one document are of no use any more
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     keys = checkpointed(keys.join(shared, "key"))
-    texts = docs.join(keys.select("doc_id").distinct(), "doc_id", "left_semi")
-    judged = checkpointed(verified(_stars(keys, first), texts, idf, similar))
-    most = 1
+    judged = checkpointed(verified(checkpointed(_stars(keys, first)), docs, idf, similar))
+    most = 2
     while True:
         labels = checkpointed(components(judged.where("linked")).withColumnRenamed("id", "doc_id"))
-        asked = checkpointed(_across(keys, first, labels, most))
-        new = asked.join(judged, ["a", "b"], "left_anti").select("a", "b")
+        keys = checkpointed(_mixed(keys, labels))
+        asked = checkpointed(_across(keys, first, most))
+        new = checkpointed(asked.join(judged, ["a", "b"], "left_anti").select("a", "b"))
         n_new, n_more = new.count(), asked.where("more").count()
         if n_new:
-            judged = checkpointed(judged.unionByName(verified(new, texts, idf, similar)))
+            judged = checkpointed(judged.unionByName(verified(new, docs, idf, similar)))
         elif not n_more:
             break
         most *= 4
