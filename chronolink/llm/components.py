@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, freed
 
 
 def components(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
@@ -34,6 +34,7 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
     before = state(edges)
     for _ in range(max_rounds):
         edges = checkpointed(small(large(edges)))
+        freed(edges.sparkSession)
         after = state(edges)
         if after == before:
             break

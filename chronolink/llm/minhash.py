@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text
-from .common import checkpointed
+from .common import checkpointed, freed
 from .components import components
 
 SHINGLE, SIMILAR = 5, 0.8
@@ -312,6 +312,7 @@ def links(docs: DataFrame, similar: float = SIMILAR) -> tuple[DataFrame, DataFra
         asked = checkpointed(_across(keys, first, most))
         new = checkpointed(asked.join(judged, ["a", "b"], "left_anti").select("a", "b"))
         n_new, n_more = new.count(), asked.where("more").count()
+        freed(docs.sparkSession)
         if n_new:
             judged = checkpointed(judged.unionByName(verified(new, docs, idf, similar)))
         elif not n_more:
