@@ -258,24 +258,24 @@ def _across(mixed: DataFrame, sig: DataFrame, most: int) -> DataFrame:
     """Candidates (a, b, more) between different components of a band: for each member outside the major one the ``most``
     best-agreeing ones; more: whether some were left out. Members outside the smallest member's component meet all
     members, who lie in blocks of about BLOCK."""
-    rows = mixed.join(sig.select("doc_id", "sig"), "doc_id")
+    rows = mixed.join(sig.select("doc_id", "sig", "bands"), "doc_id")
     n_blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    whole = rows.select("key", "band", F.pmod(F.xxhash64("doc_id"), n_blocks).cast("int").alias("block"), "doc_id", "label", "sig", F.lit(False).alias("asks"))
-    minor = rows.where("label <> major").select("key", "band", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"), "doc_id", "label", "sig", F.lit(True).alias("asks"))
+    whole = rows.select("key", "band", F.pmod(F.xxhash64("doc_id"), n_blocks).cast("int").alias("block"), "doc_id", "label", "sig", "bands", F.lit(False).alias("asks"))
+    minor = rows.where("label <> major").select("key", "band", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"), "doc_id", "label", "sig", "bands", F.lit(True).alias("asks"))
 
     def run(t: pa.Table) -> pa.Table:
         asks = np.asarray(t["asks"])
         ids, label = t["doc_id"].to_numpy(), t["label"].to_numpy()
         s = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        keys = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         i, j, band = np.flatnonzero(asks), np.flatnonzero(~asks), t["band"][0].as_py()
         found = [np.zeros((0, 3), np.int64)]
-        for lo in range(0, len(i), 64):
-            part = i[lo : lo + 64]
+        for lo in range(0, len(i), 16):
+            part = i[lo : lo + 16]
             same = (s[part][:, None, :] == s[j][None, :, :]).mean(2, dtype=np.float32)
             x, y = np.nonzero((same >= LEAST_ESTIMATE) & (label[part][:, None] != label[j][None, :]))
-            # a pair that shares several bands is taken up in the first of them only
-            equal = (s[part[x]] == s[j[y]]).reshape(len(x), BANDS, ROWS).all(2) if len(x) else np.zeros((0, BANDS), bool)
-            first = equal.argmax(1) == band
+            # a pair that shares several bands is taken up in the first of them only, by the keys that groups are formed on
+            first = (keys[part[x]] == keys[j[y]]).argmax(1) == band
             x, y = x[first], y[first]
             if len(x):
                 value = same[x, y]

@@ -103,3 +103,13 @@ def test_edges(spark):
     assert got == [(3, 3, True), (3, 3, True), (4, 3, False), (5, 5, True)]
     assert sorted(r.n for r in M.keep_one(docs).collect()) == [1, 2, 3, 5]
     assert M.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_pair_that_agrees_in_low_bytes_of_an_earlier_band_is_asked(spark):
+    # signatures (low bytes) agree everywhere, the band keys in band 3 only
+    keys = {i: [1000 * i + b for b in range(M.BANDS)] for i in (1, 2)}
+    for k in keys.values():
+        k[3] = 77
+    sig = spark.createDataFrame([(i, k, bytearray(M.BANDS * M.ROWS)) for i, k in keys.items()], "doc_id long, bands array<long>, sig binary")
+    mixed = spark.createDataFrame([(77, 3, i, i, 2, 1) for i in keys], "key long, band int, doc_id long, label long, n long, major long")
+    assert [tuple(r) for r in M._across(mixed, sig, 2).collect()] == [(1, 2, False)]
