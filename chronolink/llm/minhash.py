@@ -8,9 +8,10 @@ of fixed size (``SKETCH`` counters in each of two rows, the smaller one holds).
 
 Improved consistent weighted sampling (Ioffe 2010) draws ``BANDS * ROWS``
 samples of each document; two documents draw the same sample with the
-probability of their weighted Jaccard similarity. Samples are banded, and
-documents that share a band and agree in ``LEAST_ESTIMATE`` of their samples are
-candidates. Documents of the same word sequence are one class from the start;
+probability of their weighted Jaccard similarity. As many min-hash samples are
+drawn without weights, for the plain similarity. Each kind is banded, and
+documents that share a band of either kind and agree in ``LEAST_ESTIMATE`` of the
+samples of either kind are candidates. Documents of the same word sequence are one class from the start;
 only its smallest id goes on. Pairs are verified exactly on the texts: they
 link if the weighted Jaccard similarity, or the plain one of the shingle sets,
 is ``SIMILAR`` or more (the plain one is what "a similarity of 0.8 or more" means
@@ -44,8 +45,7 @@ from .components import components
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS, SKETCH = 20, 4, 1 << 18
-#: Least share of equal samples (of BANDS * ROWS) for a pair to be verified: 4 standard deviations under 0.7, the weighted
-#: similarity that a plain one of 0.8 may come with.
+#: Least share of equal samples of one kind (of BANDS * ROWS) for a pair to be verified: 6 standard deviations under 0.8.
 LEAST_ESTIMATE = 0.5
 #: Members of a band that one task compares with those of other components.
 BLOCK = 4096
@@ -59,6 +59,8 @@ _LNC = np.log(_RNG.gamma(2, 1, _POOL)).astype(np.float32)
 _BETA = _RNG.uniform(0, 1, _POOL).astype(np.float32)
 _ODD = _RNG.integers(1, 1 << 63, 3 * BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
+_PLAIN = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
 
 def shingles(arr: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text number, hash, count) of every distinct shingle, in order of texts, and a hash of each text's word sequence."""
@@ -148,10 +150,30 @@ def samples(doc: np.ndarray, h: np.ndarray, weight: np.ndarray, n_docs: int) ->
     return out
 
 
+def plain_samples(doc: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
+    """n_docs x (BANDS*ROWS) 32-bit min-hash samples of the shingle sets; documents without shingles draw 0."""
+    out = np.zeros((n_docs, BANDS * ROWS), np.uint32)
+    if not len(h):
+        return out
+    at = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    for k in range(BANDS * ROWS):
+        x = h * _PLAIN[k]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        out[doc[at], k] = (np.minimum.reduceat(x, at) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return out
+
+
+def agreement(same: np.ndarray) -> np.ndarray:
+    """The larger share of equal samples of the two kinds; the last axis holds both, weighted first."""
+    return same.reshape(*same.shape[:-1], 2, BANDS * ROWS).mean(-1, dtype=np.float32).max(-1)
+
+
 def band_keys(sig: np.ndarray) -> np.ndarray:
-    """n_docs x BANDS 64-bit keys."""
-    out = np.empty((len(sig), BANDS), np.uint64)
-    for b in range(BANDS):
+    """A 64-bit key of each band of ROWS samples."""
+    n_bands = sig.shape[1] // ROWS
+    out = np.empty((len(sig), n_bands), np.uint64)
+    for b in range(n_bands):
         x = np.full(len(sig), b + 1, np.uint64)
         for j in range(ROWS):
             x = text.mix(x * np.uint64(0x100000001B3) ^ sig[:, b * ROWS + j])
@@ -160,7 +182,8 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, whole (hash of the word sequence), bands (null without shingles), sig (one byte of each sample)."""
+    """doc_id, whole (hash of the word sequence), bands (null without shingles), sig (one byte of each sample); both of the
+    weighted samples first, then of the plain ones."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)  # 2 x SKETCH numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +191,7 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
         for batch in batches:
             for part in text.slices(batch, "text"):
                 doc, h, count, whole = shingles(part.column(1))
-                sig = samples(doc, h, weights(h, count, idf), part.num_rows)
+                sig = np.hstack([samples(doc, h, weights(h, count, idf), part.num_rows), plain_samples(doc, h, part.num_rows)])
                 some = np.bincount(doc, minlength=part.num_rows) > 0
                 keys, low = band_keys(sig).view(np.int64), (sig & 0xFF).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays(
@@ -225,13 +248,13 @@ def verified(pairs: DataFrame, docs: DataFrame, idf: np.ndarray, similar: float)
 
 
 def _agree(x: str, y: str, docs: DataFrame) -> DataFrame:
-    """Keep pairs whose signatures agree in LEAST_ESTIMATE of their samples; docs has x, y, sx, sy."""
+    """Keep pairs whose signatures agree in LEAST_ESTIMATE of their samples of one kind; docs has x, y, sx, sy."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 sx, sy = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-                keep = (sx == sy).mean(1) >= LEAST_ESTIMATE
+                keep = agreement(sx == sy) >= LEAST_ESTIMATE
                 yield batch.filter(pa.array(keep)).select([0, 1])
 
     return docs.select(x, y, "sx", "sy").mapInArrow(run, f"{x} long, {y} long")
@@ -272,7 +295,7 @@ def _across(mixed: DataFrame, sig: DataFrame, most: int) -> DataFrame:
         found = [np.zeros((0, 3), np.int64)]
         for lo in range(0, len(i), 16):
             part = i[lo : lo + 16]
-            same = (s[part][:, None, :] == s[j][None, :, :]).mean(2, dtype=np.float32)
+            same = agreement(s[part][:, None, :] == s[j][None, :, :])
             x, y = np.nonzero((same >= LEAST_ESTIMATE) & (label[part][:, None] != label[j][None, :]))
             # a pair that shares several bands is taken up in the first of them only, by the keys that groups are formed on
             first = (keys[part[x]] == keys[j[y]]).argmax(1) == band

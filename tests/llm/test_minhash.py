@@ -107,9 +107,18 @@ def test_edges(spark):
 
 def test_pair_that_agrees_in_low_bytes_of_an_earlier_band_is_asked(spark):
     # signatures (low bytes) agree everywhere, the band keys in band 3 only
-    keys = {i: [1000 * i + b for b in range(M.BANDS)] for i in (1, 2)}
+    keys = {i: [1000 * i + b for b in range(2 * M.BANDS)] for i in (1, 2)}
     for k in keys.values():
         k[3] = 77
-    sig = spark.createDataFrame([(i, k, bytearray(M.BANDS * M.ROWS)) for i, k in keys.items()], "doc_id long, bands array<long>, sig binary")
+    sig = spark.createDataFrame([(i, k, bytearray(2 * M.BANDS * M.ROWS)) for i, k in keys.items()], "doc_id long, bands array<long>, sig binary")
     mixed = spark.createDataFrame([(77, 3, i, i, 2, 1) for i in keys], "key long, band int, doc_id long, label long, n long, major long")
     assert [tuple(r) for r in M._across(mixed, sig, 2).collect()] == [(1, 2, False)]
+
+
+def test_plain_link_of_low_weighted_similarity_is_found(spark):
+    rng = random.Random(8)
+    ws = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    page, more = " ".join(ws), " ".join(ws + ws[-60:] * 10)
+    assert jaccard(shingle_set(page), shingle_set(more)) > 0.9
+    docs = spark.createDataFrame([(1, page), (2, more), (3, " ".join(f"v{k}" for k in range(80)))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.class_id) for r in M.near_duplicates(docs).collect()) == [(1, 1), (2, 1), (3, 3)]
