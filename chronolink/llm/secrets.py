@@ -5,8 +5,9 @@ Fixed patterns give the base spans. Beside them, candidate strings (runs of
 ``WINDOW`` characters: entering and leaving characters change their counts and
 the sum of c*log2(c), so a step costs two updates whatever the window. The
 threshold depends on the candidate's character class. An allow-list suppresses
-candidates that are long but no secrets. Entropy spans that a base span covers
-are not repeated.
+candidates that are long but no secrets. What base spans cover of a candidate
+is not repeated; its parts outside them, of ``WINDOW`` characters or more without
+the joining characters at the cuts, are judged like any other.
 
 Null or empty text: no spans. A text is scanned whole, however long; repeated
 rows are scanned alike; other columns pass through, and an incoming column
@@ -35,14 +36,17 @@ ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 6, 20, 24
 KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
-#: Bits by character class; random strings of the class exceed them in nearly every window, words don't.
-THRESHOLDS = {"hex": 3.0, "alnum": 3.7, "base64": 3.9}
+#: Bits by character class, under which 1 of 100 windows of uniform random characters of the class lies (200,000 simulated).
+THRESHOLDS = {"hex": 2.90, "onecase": 3.40, "alnum": 3.64, "base64": 3.64}
 ALLOWED = re.compile(rb"[0-9_+/=-]+|[A-Za-z_+/=-]+|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|(?:[A-Za-z]*[/_-])*[A-Za-z]+[0-9]{0,4}|(?i:.*(?:example|placeholder|changeme|xxxx|0000|1234567890).*)")
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
+_JOINTS = b"+/_=-"
+
+
 def _mask(chars: bytes) -> np.ndarray:
     m = np.zeros(256, bool)
     m[list(chars)] = True
@@ -56,7 +60,9 @@ _HEX, _CAND, _KEY = _mask(_DIGITS + b"abcdef"), _mask(_DIGITS + _LOWER + _UPPER
 def char_class(s: bytes) -> str:
     if re.fullmatch(rb"[0-9a-fA-F]+", s):
         return "hex"
-    return "alnum" if s.isalnum() else "base64"
+    if not s.isalnum():
+        return "base64"
+    return "alnum" if s != s.lower() and s != s.upper() else "onecase"
 
 
 def peak_entropy(s: bytes, window: int = WINDOW) -> float:
@@ -85,6 +91,26 @@ def is_random(s: bytes) -> bool:
     return peak_entropy(s) >= THRESHOLDS[char_class(s)]
 
 
+def outside(raw: bytes, s: int, e: int, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of raw[s:e] that no base span (sorted) covers, of WINDOW characters or more."""
+    cuts, at = [], s
+    for a, b in base:
+        if a < e and at < b:
+            cuts.append((at, a))
+            at = b
+    parts = []
+    for a, b in [*cuts, (at, e)]:
+        if a > s:
+            while a < b and raw[a] in _JOINTS:
+                a += 1
+        if b < e:
+            while a < b and raw[b - 1] in _JOINTS:
+                b -= 1
+        if b - a >= WINDOW:
+            parts.append((a, b))
+    return parts
+
+
 def find(raw: bytes, hexes: list[tuple[int, int]], candidates: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
     """(start, kind number, end) in bytes, sorted; hexes and candidates are the long runs of raw."""
     found = []
@@ -103,8 +129,7 @@ def find(raw: bytes, hexes: list[tuple[int, int]], candidates: list[tuple[int, i
     if candidates:
         base = sorted((s, e) for s, _, e in found)
         for s, e in candidates:
-            if not any(a < e and s < b for a, b in base) and is_random(raw[s:e]):
-                found.append((s, 3, e))
+            found += [(a, 3, b) for a, b in outside(raw, s, e, base) if is_random(raw[a:b])]
     return sorted(found)
 
 
