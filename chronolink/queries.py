@@ -291,6 +291,16 @@ def _(spark, sf):
     return correlation.distance(views.planted(spark, sf).where("t_idx < 300"), [("X", "Y")]).drop("lag")
 
 
+@query("corr_kendall", None)
+def _(spark, sf):
+    return correlation.kendall(views.planted(spark, sf), [("X", "Y")]).drop("lag")
+
+
+@query("corr_distance", None)
+def _(spark, sf):
+    return correlation.distance(views.planted(spark, sf), [("X", "Y")]).drop("lag")
+
+
 @query("corr_partial_k1", sql("planted") + f""", c AS (SELECT count(*) AS n, corr("X", "Y") AS a, corr("X", "Z") AS b, corr("Y", "Z") AS c FROM planted) SELECT 'all' AS unit_id, 'X' AS source, 'Y' AS target, 'Z' AS given, n, {R('(a - b * c) / sqrt((1 - b * b) * (1 - c * c))')} AS r FROM c""")
 def _(spark, sf):
     return correlation.partial_one(views.planted(spark, sf), "X", "Y", "Z")
@@ -464,7 +474,7 @@ for _name, _f in {
     "stl_deseason": lambda s, d: transforms.deseasonalise(views.ship_panel(s, d), ["qty"], 26),
     "hp_filter": lambda s, d: transforms.hp_filter(views.ship_panel(s, d), ["qty"]),
     "fill_spline": lambda s, d: transforms.fill(views.event_wide(s, d), EV, "spline"),
-    "fill_gp": lambda s, d: transforms.fill(views.event_wide(s, d).where("t_idx < 300"), ["click"], "gp"),
+    "fill_gp": lambda s, d: transforms.fill(views.event_wide(s, d), ["click"], "gp"),
     "season_label_swap": lambda s, d: transforms.season_label_swap(views.ship_daily(s, d)).select(UNIT, IDX, "month_shuffled", "doy_shuffled"),
 }.items():
     query(_name)(_f)
@@ -541,7 +551,7 @@ def _(spark, sf):
 
 
 for _name, _f in {
-    "te_batch_best": lambda s, d: discovery.te_batch(discovery.te_knn(views.planted(s, d).where("t_idx < 250"), [("X", "Y"), ("Y", "X")], [1, 2], b=19)),
+    "te_batch_best": lambda s, d: discovery.te_batch(discovery.te_knn(views.planted(s, d), [("X", "Y"), ("Y", "X")], [1, 2], b=19)),
     "granger_var": lambda s, d: discovery.granger(views.planted(s, d), PL, maxlag=5),
     "granger_panel": lambda s, d: discovery.granger(views.ship_panel(s, d), ["qty", "price"], maxlag=4),
     "granger_bidirectional": lambda s, d: discovery.bidirectional(discovery.granger(views.planted(s, d), PL, maxlag=3)),
@@ -555,7 +565,7 @@ for _name, _f in {
     "ci_sensitivity": lambda s, d: discovery.ci_sensitivity(views.planted(s, d), PL),
     "lpcmci": lambda s, d: discovery.lpcmci(views.planted(s, d), PL, 2),
     "var_lingam": lambda s, d: discovery.var_lingam(views.planted(s, d), PL, 2),
-    "rf_baseline": lambda s, d: discovery.predictive_baseline(views.planted(s, d).where("t_idx < 600"), PL, "Y", 2, trees=10, permutations=5),
+    "rf_baseline": lambda s, d: discovery.predictive_baseline(views.planted(s, d), PL, "Y", 2, trees=10, permutations=5),
     "iaaft_falsification": lambda s, d: surrogates.falsify(views.planted(s, d), [("X", "Y", 2)], b=50),
     "surrogate_series": lambda s, d: surrogates.surrogate_series(views.ship_panel(s, d), ["qty"], "iaaft", 2),
     "surrogate_test": lambda s, d: surrogates.surrogate_test(views.planted(s, d), "X", "Y", 2, 50),
