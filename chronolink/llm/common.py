@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable
@@ -25,13 +24,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def freed(spark: SparkSession) -> None:
-    """Let go of shuffle and checkpoint files that nothing refers to any more: Spark removes them when the driver's
-    collectors find their handles dead, which a loop of small jobs would otherwise not bring about."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -1,14 +1,14 @@
-"""Connected components of a pair table, in DataFrame steps."""
+"""Connected components of pairs, by hash-partitioned joins only."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, freed
+from .common import checkpointed
 
 
-def components(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 100) -> DataFrame:
+def components(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of every id in pairs of ids linked; a component is its smallest id.
 
     Alternates the large-star and small-star steps: each id hands its larger (then all its smaller) neighbours to its
@@ -31,15 +31,9 @@ def components(pairs: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 1
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    before = state(edges)
-    for _ in range(max_rounds):
+    before, after = None, state(edges)
+    while after != before:
         edges = checkpointed(small(large(edges)))
-        freed(edges.sparkSession)
-        after = state(edges)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError("components did not settle")
+        before, after = after, state(edges)
     roots = edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

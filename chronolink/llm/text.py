@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES, SLICE_ROWS = 2 << 20, 1 << 16
 U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -56,13 +56,13 @@ def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Row slices of at most ``limit`` text bytes, one row at least."""
+    """Row slices of at most ``limit`` text bytes and ``SLICE_ROWS`` rows, one row at least."""
     n = batch.num_rows
     if not n:
         return
     offs, lo = utf8(batch.column(batch.schema.get_field_index(text)))[1], 0
     while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1)
+        hi = max(lo + 1, min(lo + SLICE_ROWS, int(np.searchsorted(offs, offs[lo] + limit, "right")) - 1))
         yield batch.slice(lo, hi - lo)
         lo = hi
 
