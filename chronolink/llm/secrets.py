@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -91,13 +92,26 @@ def is_random(s: bytes) -> bool:
     return peak_entropy(s) >= THRESHOLDS[char_class(s)]
 
 
-def outside(raw: bytes, s: int, e: int, base: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The parts of raw[s:e] that no base span (sorted) covers, of WINDOW characters or more."""
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans with overlapping ones made one."""
+    out: list[tuple[int, int]] = []
+    for s, e in spans:
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
+def outside(raw: bytes, s: int, e: int, base: list[tuple[int, int]], ends: list[int]) -> list[tuple[int, int]]:
+    """The parts of raw[s:e] that no base span (merged; ends: where they end) covers, of WINDOW characters or more."""
     cuts, at = [], s
-    for a, b in base:
-        if a < e and at < b:
-            cuts.append((at, a))
-            at = b
+    for k in range(bisect_right(ends, s), len(base)):
+        a, b = base[k]
+        if a >= e:
+            break
+        cuts.append((at, a))
+        at = b
     parts = []
     for a, b in [*cuts, (at, e)]:
         if a > s:
@@ -127,9 +141,10 @@ def find(raw: bytes, hexes: list[tuple[int, int]], candidates: list[tuple[int, i
         at = raw.find(b"AKIA", end)
     found += [(s, 2, e) for s, e in hexes]
     if candidates:
-        base = sorted((s, e) for s, _, e in found)
+        base = merged(sorted((s, e) for s, _, e in found))
+        ends = [e for _, e in base]
         for s, e in candidates:
-            found += [(a, 3, b) for a, b in outside(raw, s, e, base) if is_random(raw[a:b])]
+            found += [(a, 3, b) for a, b in outside(raw, s, e, base, ends) if is_random(raw[a:b])]
     return sorted(found)
 
 

@@ -70,3 +70,18 @@ def test_uniform_random_strings_are_found():
             some = ["".join(rng.choices(chars, k=n)).encode() for _ in range(2000)]
             some = [s for s in some if not secrets.ALLOWED.fullmatch(s)]
             assert sum(not secrets.is_random(s) for s in some) < 0.02 * len(some), (chars, n)
+
+
+def test_many_spans_in_one_text_take_time_in_proportion():
+    import time
+
+    line = "password=hunter2xyz {} 0123456789abcdef01234567Zx9 "
+    made = lambda n: pa.array(["".join(line.format(f"k{i}Qw8/{i * 7919 % 99991}Zt+pLmNb{i}vR") for i in range(n))])
+    took = []
+    for n in (2_000, 20_000):
+        t = made(n)
+        began = time.perf_counter()
+        found = secrets.scan_slice(t)[0]
+        took.append(time.perf_counter() - began)
+        assert sum(k == "assign" for _, k, _ in found) == n == sum(k == "hex" for _, k, _ in found)
+    assert took[1] < 30 * took[0] + 1
