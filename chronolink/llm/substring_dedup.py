@@ -5,11 +5,15 @@ holds, for the word windows whose hash falls in it, the first document (by
 doc_id) and word position that the window starts at. Documents are held in
 chunks by a hash of their ids. A chunk asks every block it has windows for,
 and the block answers with the earlier occurrences only. A document is then
-parsed greedily: at a word whose window occurs in an earlier document, the
-factor is extended as long as the following windows continue the same earlier
-occurrence; after a factor ends, the windows across its boundary are looked up
-like any other, so no covered word is missed when one source gives way to
-another. Factors are at least ``WINDOW`` words long; their words are removed.
+parsed greedily relative to this index of first occurrences: at a word whose
+window occurs in an earlier document, the factor is extended word by word as
+long as the indexed occurrence goes on in the same document (another, later
+document may hold a longer stretch; the words covered are the same). Where a
+factor ends, each window across its boundary is looked up in turn and opens the
+next factor, which then overlaps the one before. Factors are at least ``WINDOW``
+words long, and their words are what is removed. Windows are equal if two
+64-bit hashes over their words' hashes are; the second one is made where the
+first one is found.
 
 Asking for every window would move 8 bytes a word. Therefore a first round
 asks only for anchors: of the ``WINDOW - GRAM + 1`` GRAM-word hashes in a window,
@@ -48,7 +52,7 @@ _ARROW = pa.list_(pa.struct([("first", pa.int32()), ("words", pa.int32()), ("sou
 
 
 class Parsed:
-    """Words of a slice of documents with their windows' hashes and anchors."""
+    """Words of a slice of documents with their windows' anchors and hashes."""
 
     def __init__(self, part: pa.RecordBatch, key: int, column: int, window: int, gram: int, anchors: bool = True) -> None:
         data, offs = text.utf8(part.column(column))
@@ -63,7 +67,7 @@ class Parsed:
         self.at = np.flatnonzero(ok & known[doc[: max(n, 0)]]) if n > 0 else np.zeros(0, np.int64)
         self.row = doc[self.at]
         self.doc, self.pos = ids[self.row], self.at - self.first[self.row]
-        self.hash = text.grams(h, window)[self.at]
+        self._words, self._window = h, window
         if anchors and n > 0:
             g = text.grams(h, gram)
             m, width, span = g, 1, window - gram + 1
@@ -73,18 +77,44 @@ class Parsed:
                 m = np.minimum(m[: n], m[span - width : span - width + n])
             self.anchor = text.mix(m[self.at], 5)
 
+    def hashes(self) -> np.ndarray:
+        return text.grams(self._words, self._window)[self.at]
 
-def _least(h: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct hashes, rising, with their first (doc, pos), and whether more than one doc has them."""
+    def checks(self, which: np.ndarray) -> np.ndarray:
+        """Second hashes of some windows."""
+        out, h, at = np.zeros(len(which), np.uint64), text.mix(self._words, 9), self.at[which]
+        for j in range(self._window):
+            out = (out ^ h[at + j]) * np.uint64(0xC2B2AE3D27D4EB4F)
+        return text.mix(out, 2)
+
+
+def _least(h: np.ndarray, check: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (hash, check), rising, with their first (doc, pos), and whether more than one doc has them."""
     if not len(h):
-        return h, doc, pos, np.zeros(0, bool)
-    order = np.lexsort((pos, doc, h))
-    h, doc, pos = h[order], doc[order], pos[order]
+        return h, check, doc, pos, np.zeros(0, bool)
+    order = np.lexsort((pos, doc, check, h))
+    h, check, doc, pos = h[order], check[order], doc[order], pos[order]
     new = np.empty(len(h), bool)
-    new[0], new[1:] = True, h[1:] != h[:-1]
+    new[0], new[1:] = True, (h[1:] != h[:-1]) | (check[1:] != check[:-1])
     at = np.flatnonzero(new)
     last = np.append(at[1:], len(h)) - 1
-    return h[at], doc[at], pos[at], doc[last] != doc[at]
+    return h[at], check[at], doc[at], pos[at], doc[last] != doc[at]
+
+
+def _find(h: np.ndarray, check: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each (x, y) is among the rising pairs (h, check), and where."""
+    if not len(h):
+        return np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+    i = np.minimum(np.searchsorted(h, x), len(h) - 1)
+    found = (h[i] == x) & (check[i] == y)
+    todo = np.flatnonzero((h[i] == x) & ~found)
+    while len(todo):  # equal hashes of different words
+        i[todo] += 1
+        todo = todo[i[todo] < len(h)]
+        todo = todo[h[i[todo]] == x[todo]]
+        found[todo] = check[i[todo]] == y[todo]
+        todo = todo[~found[todo]]
+    return found, np.minimum(i, len(h) - 1)
 
 
 def _split(h: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
@@ -100,32 +130,33 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
-_MSG = "block long, chunk long, h binary, doc binary, pos binary, many binary"
-_NAMES = ["block", "chunk", "h", "doc", "pos", "many"]
-_TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+_MSG = "block long, chunk long, h binary, check binary, doc binary, pos binary, many binary"
+_NAMES = ["block", "chunk", "h", "check", "doc", "pos", "many"]
+_TYPES = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
 
 
-def _message(block: int, chunk: int, h: np.ndarray, doc: np.ndarray | None = None, pos: np.ndarray | None = None, many: np.ndarray | None = None) -> tuple:
-    return (block, chunk, h.tobytes(), b"" if doc is None else doc.astype(np.int64).tobytes(), b"" if pos is None else pos.astype(np.int32).tobytes(), b"" if many is None else np.packbits(many).tobytes())
+def _message(block: int, chunk: int, h: np.ndarray, check: np.ndarray | None = None, doc: np.ndarray | None = None, pos: np.ndarray | None = None, many: np.ndarray | None = None) -> tuple:
+    more = [b"" if x is None else x.astype(kind).tobytes() for x, kind in ((check, np.uint64), (doc, np.int64), (pos, np.int32))]
+    return (block, chunk, h.tobytes(), *more, b"" if many is None else np.packbits(many).tobytes())
 
 
 def _read(t: pa.Table, column: str, dtype: type) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), dtype) for x in t[column]]
 
 
-def factors(row: np.ndarray, pos: np.ndarray, source: np.ndarray, source_pos: np.ndarray, window: int) -> list[tuple[int, int, int, int, int]]:
+def factors(row: np.ndarray, pos: np.ndarray, source: np.ndarray, source_pos: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
     """Greedy parse: (row, first word, words, source, first word there) from windows that occur earlier, in order of row and position."""
     if not len(row):
-        return []
+        return row, pos, pos, source, source_pos
     go = (row[1:] == row[:-1]) & (pos[1:] == pos[:-1] + 1) & (source[1:] == source[:-1]) & (source_pos[1:] == source_pos[:-1] + 1)
     cut = np.flatnonzero(np.append(True, ~go))
     length = np.diff(np.append(cut, len(row))) + window - 1
-    return list(zip(row[cut].tolist(), pos[cut].tolist(), length.tolist(), source[cut].tolist(), source_pos[cut].tolist()))
+    return row[cut], pos[cut], length, source[cut], source_pos[cut]
 
 
 def dedup(docs: DataFrame, text_col: str = "text", key: str = "doc_id", window: int = WINDOW, gram: int = GRAM, with_factors: bool = True) -> DataFrame:
-    """docs with n_words, n_removed, kept_text (the words left, joined by one space) and factors (first word, words, source
-    document and first word there; factors may overlap where one source gives way to another)."""
+    """docs with n_words, n_removed, kept_text (the words that no factor covers, joined by one space) and, if they are to be
+    shown, factors (first word, words, source document and first word there; they may overlap where a source gives way)."""
     docs = without(docs, "n_words", "n_removed", "kept_text", "factors", "_chunk")
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n_chunks = max(1, -(-total // CHUNK_BYTES))
@@ -140,13 +171,13 @@ def dedup(docs: DataFrame, text_col: str = "text", key: str = "doc_id", window:
                 yield part, Parsed(part, k, c, window, gram, anchors)
 
     def ask_anchors(t: pa.Table) -> pa.Table:
-        found = [_least(p.anchor, p.doc, p.pos * 0) for _, p in parsed(t) if len(p.at)]
+        found = [_least(p.anchor, np.zeros(len(p.at), np.uint64), p.doc, p.pos * 0) for _, p in parsed(t) if len(p.at)]
         rows = []
         if found:
-            h, doc, pos = (np.concatenate([f[i] for f in found]) for i in range(3))
-            more = np.concatenate([f[3] for f in found])
+            h, zero, doc, pos = (np.concatenate([f[i] for f in found]) for i in range(4))
+            more = np.concatenate([f[4] for f in found])
             again = np.unique(h[more])
-            h, _, _, many = _least(h, doc, pos)
+            h, _, _, _, many = _least(h, zero, doc, pos)
             many |= np.isin(h, again)
             low = (h >> np.uint64(32 - bits) & np.uint64(0xFFFFFFFF)).astype(np.uint32) if bits <= 32 else h.astype(np.uint32)
             rows = [_message(b, t["_chunk"][0].as_py(), low[x:y], many=many[x:y]) for b, x, y in _split(h, bits)]
@@ -154,12 +185,11 @@ def dedup(docs: DataFrame, text_col: str = "text", key: str = "doc_id", window:
 
     def answer_anchors(t: pa.Table) -> pa.Table:
         h, chunks = _read(t, "h", np.uint32), t["chunk"].to_pylist()
-        many = [np.unpackbits(np.frombuffer(m.as_py(), np.uint8), count=len(x)).astype(bool) for m, x in zip(t["many"], h)]
-        everything = np.concatenate(h)
-        seen, n = np.unique(everything, return_counts=True)
-        shared = np.union1d(seen[n > 1], everything[np.concatenate(many)])
-        block = t["block"][0].as_py()
-        rows = [_message(block, chunk, hit) for chunk, x in zip(chunks, h) if len(hit := x[np.isin(x, shared)])]
+        many = np.concatenate([np.unpackbits(np.frombuffer(m.as_py(), np.uint8), count=len(x)) for m, x in zip(t["many"], h)])
+        _, place, n = np.unique(np.concatenate(h), return_inverse=True, return_counts=True)
+        shared = ((n > 1) | (np.bincount(place, many, len(n)) > 0))[place]
+        block, cut = t["block"][0].as_py(), np.cumsum([0, *map(len, h)])
+        rows = [_message(block, chunk, hit) for chunk, x, a, b in zip(chunks, h, cut, cut[1:]) if len(hit := x[shared[a:b]])]
         return pa.Table.from_batches([_batch(rows, _NAMES, _TYPES)])
 
     def shared_anchors(replies: pa.Table) -> np.ndarray:
@@ -180,42 +210,45 @@ def dedup(docs: DataFrame, text_col: str = "text", key: str = "doc_id", window:
                 if len(p.at):
                     a = p.anchor >> np.uint64(64 - bits) << np.uint64(32) | p.anchor >> np.uint64(32 - bits) & np.uint64(0xFFFFFFFF) if bits else p.anchor >> np.uint64(32)
                     hit = member(shared, a)[0]
-                    found.append((p.hash[hit], p.doc[hit], p.pos[hit]))
+                    found.append((p.hashes()[hit], p.checks(np.flatnonzero(hit)), p.doc[hit], p.pos[hit]))
             if found:
-                h, doc, pos, many = _least(*(np.concatenate([f[i] for f in found]) for i in range(3)))
-                rows = [_message(b, t["_chunk"][0].as_py(), h[x:y], doc[x:y], pos[x:y], many[x:y]) for b, x, y in _split(h, bits)]
+                h, check, doc, pos, many = _least(*(np.concatenate([f[i] for f in found]) for i in range(4)))
+                rows = [_message(b, t["_chunk"][0].as_py(), h[x:y], check[x:y], doc[x:y], pos[x:y], many[x:y]) for b, x, y in _split(h, bits)]
         return pa.Table.from_batches([_batch(rows, _NAMES, _TYPES)])
 
     def answer_windows(t: pa.Table) -> pa.Table:
-        h, doc, pos = _read(t, "h", np.uint64), _read(t, "doc", np.int64), _read(t, "pos", np.int32)
-        seen, least, where, _ = _least(np.concatenate(h), np.concatenate(doc), np.concatenate(pos))
+        h, check, doc, pos = _read(t, "h", np.uint64), _read(t, "check", np.uint64), _read(t, "doc", np.int64), _read(t, "pos", np.int32)
+        seen, sure, least, where, _ = _least(np.concatenate(h), np.concatenate(check), np.concatenate(doc), np.concatenate(pos))
         block, rows = t["block"][0].as_py(), []
-        for chunk, x, own, raw in zip(t["chunk"].to_pylist(), h, doc, t["many"]):
+        for chunk, x, y, own, raw in zip(t["chunk"].to_pylist(), h, check, doc, t["many"]):
             many = np.unpackbits(np.frombuffer(raw.as_py(), np.uint8), count=len(x)).astype(bool)
-            i = np.searchsorted(seen, x)
+            i = _find(seen, sure, x, y)[1]
             tell = many | (least[i] < own)
             if tell.any():
-                rows.append(_message(block, chunk, x[tell], least[i][tell], where[i][tell]))
+                rows.append(_message(block, chunk, x[tell], y[tell], least[i][tell], where[i][tell]))
         return pa.Table.from_batches([_batch(rows, _NAMES, _TYPES)])
 
     out_fields = [f for f in docs.schema.fields if f.name != "_chunk"] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
     out_fields += [T.StructField("factors", FACTORS)] if with_factors else []
 
     def remove(t: pa.Table, replies: pa.Table) -> pa.Table:
-        h = np.concatenate([np.zeros(0, np.uint64), *_read(replies, "h", np.uint64)])
-        order = np.argsort(h)
-        h = h[order]
+        h, check = (np.concatenate([np.zeros(0, np.uint64), *_read(replies, c, np.uint64)]) for c in ("h", "check"))
+        order = np.lexsort((check, h))
+        h, check = h[order], check[order]
         source = np.concatenate([np.zeros(0, np.int64), *_read(replies, "doc", np.int64)])[order]
         where = np.concatenate([np.zeros(0, np.int32), *_read(replies, "pos", np.int32)])[order]
         done = []
         for part, p in parsed(t, anchors=False):
-            hit, i = member(h, p.hash)
+            x = p.hashes()
+            hit = np.flatnonzero(member(h, x)[0])
+            found, i = _find(h, check, x[hit], p.checks(hit))
             if len(h):
-                hit &= source[i] < p.doc
-            at, i = p.at[hit], i[hit]
-            edge = np.zeros(int(p.first[-1]) + 1, np.int32)
+                found &= source[i] < p.doc[hit]
+            hit, i = hit[found], i[found]
+            row, begin, length, src, src_begin = factors(p.row[hit], p.pos[hit], source[i] if len(h) else p.doc[hit], where[i] if len(h) else p.pos[hit], window)
+            edge, at = np.zeros(int(p.first[-1]) + 1, np.int32), p.first[row] + begin
             np.add.at(edge, at, 1)
-            np.add.at(edge, np.minimum(at + window, len(edge) - 1), -1)
+            np.add.at(edge, at + length, -1)
             gone = np.cumsum(edge[:-1]) > 0
             n = np.diff(p.first)
             removed = np.add.reduceat(np.append(gone, False), p.first[:-1]) * (n > 0) if len(n) else n
@@ -226,10 +259,10 @@ def dedup(docs: DataFrame, text_col: str = "text", key: str = "doc_id", window:
             columns = [*(part.column(j) for j in range(part.num_columns) if j != at_column), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
             names = [x for j, x in enumerate(part.schema.names) if j != at_column] + ["n_words", "n_removed", "kept_text"]
             if with_factors:
-                found: list[list] = [[] for _ in range(part.num_rows)]
-                for r, first, words, src, src_first in factors(p.row[hit], p.pos[hit], source[i] if len(h) else p.doc[hit], where[i] if len(h) else p.pos[hit], window):
-                    found[r].append({"first": first, "words": words, "source": src, "source_first": src_first})
-                columns.append(pa.array(found, _ARROW))
+                spans: list[list] = [[] for _ in range(part.num_rows)]
+                for r, *span in zip(row.tolist(), begin.tolist(), length.tolist(), src.tolist(), src_begin.tolist()):
+                    spans[r].append(dict(zip(("first", "words", "source", "source_first"), span)))
+                columns.append(pa.array(spans, _ARROW))
                 names.append("factors")
             done.append(pa.RecordBatch.from_arrays(columns, names=names))
         if not done:

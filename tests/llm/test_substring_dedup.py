@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from chronolink.llm import substring_dedup as S
@@ -69,3 +70,18 @@ def test_factors_are_true_and_columns_pass(spark):
             covered.update(range(f.first, f.first + f.words))
         assert len(covered) == r.n_removed and r.kept_text == " ".join(w for j, w in enumerate(ws) if j not in covered)
     assert S.digest(df.limit(0)).count() == 0
+
+
+def test_equal_hashes_of_different_words_are_told_apart():
+    u = lambda *x: np.array(x, np.uint64)
+    h, check, doc, pos, many = S._least(u(9, 5, 5, 5, 5), u(1, 4, 2, 1, 2), np.array([3, 8, 6, 7, 2]), np.array([0, 1, 2, 3, 4]))
+    assert h.tolist() == [5, 5, 5, 9] and check.tolist() == [1, 2, 4, 1] and doc.tolist() == [7, 2, 8, 3] and pos.tolist() == [3, 4, 1, 0]
+    assert many.tolist() == [False, True, False, False]
+    found, i = S._find(h, check, u(5, 5, 9, 5, 7), u(4, 3, 1, 1, 1))
+    assert found.tolist() == [True, False, True, True, False] and i[found].tolist() == [2, 3, 0]
+    ws = [f"w{k}" for k in range(40)]
+    import pyarrow as pa
+
+    p = S.Parsed(pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": [" ".join(ws), " ".join(ws[:20] + ["x"] + ws[21:])]}), 0, 1, 13, 7)
+    c, same = p.checks(np.arange(len(p.at))), p.row == 0
+    assert ((c[same] == c[~same]) == (p.hashes()[same] == p.hashes()[~same])).all() and (c[same] == c[~same]).sum() == 8 + 7
