@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from . import text
 from .bpe import Codec, id_bytes, uncollected
 from .common import checkpointed, tokenizer_path
 
-SIZE, END_ID, PART, ROUNDS = 4096, 1, 50_000, 4
+SIZE, END_ID, PART = 4096, 1, 50_000
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -124,13 +125,13 @@ def _packed(rows: DataFrame, size: int, part: int, turn: int) -> DataFrame:
     return checkpointed(dealt.mapInArrow(run, f"{_PIECES}, sequence_id long, offset long, gap long, spare long"))
 
 
-def pack_pieces(rows: DataFrame, size: int = SIZE, part: int = PART, rounds: int = ROUNDS) -> DataFrame:
+def pack_pieces(rows: DataFrame, size: int = SIZE, part: int = PART) -> DataFrame:
     """rows (of ``pieces``) with sequence_id and offset, and ``gap``: by how many bins its partition may exceed its bound."""
     base = [x.split()[0] for x in _PIECES.split(", ")]
     current, done = _packed(rows, size, part, 0), None
     n_bins = lambda df: df.where("offset = 0").count()  # noqa: E731  every bin has one piece at 0
     is_open = f"spare > 0 and (gap > 0 or spare >= {max(1, size // 8)})"
-    for turn in range(1, rounds + 1):
+    for turn in count(1):  # a round that goes on has saved a bin
         opened = current.where(is_open)
         old = n_bins(opened)
         if old < 2:

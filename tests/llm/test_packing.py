@@ -72,3 +72,18 @@ def test_every_piece_once_and_gapless(spark, part):
     bound = packing.lower_bound(np.array([n for _, n, _ in want.values()]), 32)
     assert len(bins) <= bound + (1 if part > 100 else 3)
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_rounds_go_on_while_bins_are_saved(spark, monkeypatch):
+    turns, real = [], packing._packed
+
+    def packed(rows, size, part, turn):
+        turns.append(turn)
+        return real(rows, size, part, turn)
+
+    monkeypatch.setattr(packing, "_packed", packed)
+    rng = np.random.default_rng(2)
+    rows = [(i, 0, 0, int(x), i) for i, x in enumerate(rng.integers(1, 33, 3000))]
+    df = spark.createDataFrame(rows, packing._PIECES)
+    got = packing.pack_pieces(df, 32, 5).where("offset = 0").count()
+    assert len(turns) > 5 and got < packing.pack_pieces(df, 32, 3000).where("offset = 0").count() * 1.1
