@@ -10,11 +10,13 @@ and the traversal stops there. The recall that it reaches is therefore 1 by
 construction, up to rounding, for which the radius has a margin. What it finds
 is verified by the cosine in double precision.
 
-Equal vectors of a label are one entry with a multiplicity. Cells are split
-into blocks of about ``BLOCK`` entries; a query goes to every block of a cell,
-where all queries meet all entries in matrix products. A block returns counts
-per query and a spanning forest of its links, never the links themselves, so
-what it returns grows with its rows.
+Equal vectors of a label are one entry with a multiplicity. The grid grows with
+the entries, to cells of about ``BLOCK`` of them (``MOST_CENTROIDS`` a half bounds
+what is broadcast; beyond it cells are split into blocks). A query goes to every
+block of its own cell and of the later cells that it visits, where all queries
+meet all entries in matrix products, and a link to a later cell counts for both
+its ends. A block returns counts per entry and a spanning forest of its links,
+never the links themselves, so what it returns grows with its rows.
 
 Null labels, and vectors that are null, zero, or hold null or non-finite
 components, link with nothing: n_links 0, component_id their own id. Vectors
@@ -36,7 +38,7 @@ from pyspark.sql import types as T
 from .common import checkpointed
 from .components import components
 
-COSINE, SAMPLE, BLOCK, MOST_CENTROIDS, MARGIN = 0.98, 20_000, 2048, 64, 1e-6
+COSINE, SAMPLE, BLOCK, MOST_CENTROIDS, MARGIN = 0.98, 20_000, 2048, 1024, 1e-6
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -106,18 +108,20 @@ def forest(linked: np.ndarray, q: np.ndarray, p: np.ndarray) -> list[tuple[int,
 
 def _units(e: pa.ChunkedArray) -> np.ndarray:
     x = np.asarray(e.combine_chunks().flatten() if isinstance(e, pa.ChunkedArray) else e.flatten(), float).reshape(len(e), -1)
+    x = x / np.abs(x).max(1, keepdims=True, initial=0)  # else squares may overflow or vanish
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def link(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row of vectors (vec_id, embedding, label)."""
-    e = F.col("embedding").cast("array<double>")
+    as_is = vectors.schema["embedding"].dataType == T.ArrayType(T.FloatType())  # half of what doubles take to send
+    e = F.col("embedding") if as_is else F.col("embedding").cast("array<double>")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("embedding"), F.col("label").cast("string").alias("label"))
     fine = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
     good = rows.where(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull() & fine)
     # -0.0 and 0.0 are equal as grouping keys
     same = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    entries = checkpointed(same.withColumn("dims", F.size("embedding")).withColumn("entry", F.xxhash64("label", "embedding")))
+    entries = checkpointed(same.withColumn("dims", F.size("embedding")).withColumn("entry", F.monotonically_increasing_id()))
     n = entries.count()
     own = rows.select("vec_id")
     if not n:
@@ -148,16 +152,16 @@ def link(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, block
                 cells[at] = a * MOST_CENTROIDS + b
                 left, right = (borders(h, c) for h, c in zip(halves, books[d]))
                 for r, u, v in zip(at, left, right):
-                    visits[r] = [i * MOST_CENTROIDS + j for i, j in visit(u, v, limit)]
+                    visits[r] = [c for i, j in visit(u, v, limit) if (c := i * MOST_CENTROIDS + j) >= cells[r]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells), pa.array(visits, pa.list_(pa.int64()))], names=[*batch.schema.names, "cell", "visits"])
 
     schema = T.StructType([*entries.schema.fields, T.StructField("cell", T.LongType()), T.StructField("visits", T.ArrayType(T.LongType()))])
     placed = checkpointed(entries.mapInArrow(place, schema))
     cell = ["label", "dims", "cell"]
     sizes = placed.groupBy(*cell).agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).drop("n")
-    stored = placed.join(sizes, cell).select(*cell, F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int").alias("block"), "entry", "rep", "copies", "embedding", F.lit(False).alias("asks"))
-    asking = placed.select("label", "dims", F.explode("visits").alias("cell"), "entry", "rep", "copies", "embedding").join(sizes, cell)
-    asking = asking.select(*cell, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "entry", "rep", "copies", "embedding", F.lit(True).alias("asks"))
+    stored = placed.join(sizes, cell).select(*cell, F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int").alias("block"), "entry", "rep", "copies", "embedding", F.lit(False).alias("asks"), F.lit(False).alias("both"))
+    asking = placed.select("label", "dims", F.col("cell").alias("_own"), F.explode("visits").alias("cell"), "entry", "rep", "copies", "embedding").join(sizes, cell)
+    asking = asking.select(*cell, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "entry", "rep", "copies", "embedding", F.lit(True).alias("asks"), (F.col("cell") > F.col("_own")).alias("both"))
 
     def meet(t: pa.Table) -> pa.Table:
         asks = np.asarray(t["asks"])
@@ -165,12 +169,13 @@ def link(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, block
         out: dict[str, list] = {"entry": [], "a": [], "b": [], "n": []}
         if q.num_rows and p.num_rows:
             y, ids, copies = _units(p["embedding"]), p["rep"].to_numpy(), p["copies"].to_numpy()
-            entry_p = p["entry"].to_numpy()
+            entry_p, met_p = p["entry"].to_numpy(), np.zeros(p.num_rows, np.int64)
             for lo in range(0, q.num_rows, 1024):
                 part = q.slice(lo, 1024)
                 x, reps, entry = _units(part["embedding"]), part["rep"].to_numpy(), part["entry"].to_numpy()
                 linked = (x @ y.T >= cosine) & (entry[:, None] != entry_p[None, :])
-                count = linked @ copies
+                count, both = linked @ copies, np.asarray(part["both"])
+                met_p += (part["copies"].to_numpy() * both) @ linked
                 some = np.flatnonzero(count)
                 if len(some):
                     out["entry"] += entry[some].tolist()
@@ -182,6 +187,11 @@ def link(vectors: DataFrame, cosine: float = COSINE, sample: int = SAMPLE, block
                     out["n"] += [0] * len(pairs)
                     out["a"] += [a for a, _ in pairs]
                     out["b"] += [b for _, b in pairs]
+            some = np.flatnonzero(met_p)
+            out["entry"] += entry_p[some].tolist()
+            out["n"] += met_p[some].tolist()
+            out["a"] += [None] * len(some)
+            out["b"] += [None] * len(some)
         return pa.table({"entry": pa.array(out["entry"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "a": pa.array(out["a"], pa.int64()), "b": pa.array(out["b"], pa.int64())})
 
     met = checkpointed(stored.unionByName(asking).groupBy(*cell, "block").applyInArrow(meet, "entry long, n long, a long, b long"))

@@ -62,3 +62,9 @@ def test_traversal_reaches_all_neighbours():
     a, b = np.nonzero(x @ x.T >= 0.98)
     assert len(a) > 1000 and all(cells[j] in seen[i] for i, j in zip(a, b))
     assert np.mean([len(s) for s in seen]) < 64
+
+
+def test_very_large_and_very_small_components(spark):
+    rows = [(1, [1e200, 2e200], 1), (2, [1e-200, 2e-200], 1), (3, [1.0, 2.0], 1), (4, [2.0, -1.0], 1), (1, [2.0, -1.0], 2)]
+    got = sorted(tuple(r) for r in E.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(1, 0, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 0, 4, True)]
