@@ -6,23 +6,50 @@ from chronolink.llm import toxicity as X
 
 
 def brute(clauses):
-    """Match counts straight from the definition; clauses are lists of symbols."""
-    out = np.zeros(len(X.KINDS))
+    """Arcs straight from their definition; clauses are lists of symbols."""
+    out = np.zeros(len(X.ARCS))
     for c in clauses:
-        for i, x in enumerate(c):
-            if x in (X.INSULT, X.THREAT):
-                neg = int(X.NEGATION in c[max(0, i - X.NEG_REACH) : i])
-                out[X.KINDS.index((x, neg, int(X.REPORT in c[:i]), int(X.TARGET in c)))] += 1
+        at = [i for i, x in enumerate(c) if x in (X.INSULT, X.THREAT)]
+        if at:
+            insults, first = c.count(X.INSULT), c.index(X.THREAT) if X.THREAT in c else None
+            whole = first is not None and (X.INTENT in c[:first] or X.TARGET in c[first:])
+            negated = all(X.NEGATION in c[max(0, i - X.NEG_REACH) : i] for i in at)
+            reported = all(X.REPORT in c[:i] for i in at)
+            out += [insults > 0, insults > 1, first is not None and not whole, whole, X.TARGET in c, negated, reported]
     return out
 
 
 def test_composed_machine_equals_the_definition():
     rng = random.Random(2)
-    for _ in range(300):
-        clauses = [[rng.randrange(6) for _ in range(rng.randint(0, 8))] for _ in range(rng.randint(1, 4))]
+    for _ in range(2000):
+        clauses = [[rng.randrange(X.END) for _ in range(rng.randint(0, 8))] for _ in range(rng.randint(1, 4))]
         assert (X.matches([y for c in clauses for y in [*c, X.END]]) == brute(clauses)).all()
 
 
+def brute_score(text, words, weights):
+    clauses = [[]]
+    for line in text.split("\n"):
+        for w in line.split():
+            clauses[-1].append(words.get(w.strip(".,!?\"").lower(), X.OTHER))
+            if w[-1] in ".!?;:\"":
+                clauses.append([])
+        clauses.append([])
+    z = weights[0] + sum(w * np.log(1 + n) for w, n in zip(weights[1:], brute(clauses)))
+    return 1 / (1 + np.exp(-z))
+
+
+def test_score_equals_the_definition_and_clauses_outweigh_words(spark):
+    rng = random.Random(3)
+    v = ["idiot", "kill", "you", "not", "said", "will", "house", "walk", "tree", "the"]
+    texts = [" ".join(rng.choice(v) + rng.choice(["", "", "", ".", "!", "\n"]) for _ in range(rng.randint(0, 12))) for _ in range(200)]
+    texts += ["kill", "I will kill you", "an idiot", "you idiot", "you are not an idiot", "he said an idiot", "fool, moron, jerk", "long " * 200_000 + "you idiot", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = [r.toxicity for r in X.score(df, X.Model(X.seeds())).orderBy("doc_id").collect()]
+    assert np.allclose(got, [brute_score(t or "", X.seeds(), X.prior()) for t in texts])
+    word, threat, plain, aimed, negated, said, several = got[200:207]
+    assert word < 0.2 < 0.5 < threat and plain < aimed and negated < 0.2 and said < plain < several and got[207] == aimed and got[208] < 0.1
+
+
 def rows(n=400):
     rng = random.Random(4)
     docs, labels = [], []
