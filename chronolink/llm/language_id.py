@@ -10,8 +10,9 @@ language is that of most of its letters, its score their share times how far
 the winner leads per word.
 
 Models are fitted on at most about ``TRAIN_DOCS`` documents a language, taken
-by a hash of their ids from the rows that are allowed for learning; the fitted
-tables have a fixed size. Null text, or text without a letter: ``und``, score
+by a hash of their ids from the rows that are allowed for learning. Values of
+the language column on fewer than ``LEAST_SHARE`` of those rows are not learned,
+so the fitted tables have a bounded size. Null text, or text without a letter: ``und``, score
 0 and no spans. Texts are read whole; repeated rows are labelled alike; ties
 go to the language first in alphabetical order. Without any row to learn from,
 every text is ``und``.
@@ -31,7 +32,7 @@ from pyspark.sql import types as T
 from . import text
 from .common import appended, extend, without
 
-TRAIN_DOCS, BUCKETS, GRAM, SWITCH, CACHE_WORDS = 2000, 1 << 15, 4, 12.0, 200_000
+TRAIN_DOCS, LEAST_SHARE, BUCKETS, GRAM, SWITCH, CACHE_WORDS = 2000, 1e-3, 1 << 15, 4, 12.0, 200_000
 SCRIPT_SHARE, OUT = 0.02, -40.0
 
 # First and last code points of script ranges.
@@ -87,10 +88,11 @@ class Model:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key: str = "doc_id", train_docs: int = TRAIN_DOCS) -> Model:
     """Fit on a hash sample of labelled rows, of about train_docs a language at most."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+    n = rows.count()
+    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().where(F.col("count") >= LEAST_SHARE * n).collect()}  # 1 / LEAST_SHARE values at most
     if not counts:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros((len(NAMES) + 2, 0), bool))
-    share = F.coalesce(*[F.when(F.col(lang_col) == k, F.lit(min(1.0, train_docs / n))) for k, n in sorted(counts.items())])
+    share = F.coalesce(*[F.when(F.col(lang_col) == k, F.lit(min(1.0, train_docs / m))) for k, m in sorted(counts.items())])
     unit = (F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("lid")), F.lit(1 << 20)) / float(1 << 20)).cast("double")
     sample = rows.where(unit < share).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).repartition(16)
 
@@ -173,15 +175,16 @@ def viterbi(scores: np.ndarray, first: np.ndarray, switch: float = SWITCH) -> np
     starts, lengths = first[:-1][order], lengths[order]
     steps = int(lengths[0]) if len(lengths) else 0
     active = np.searchsorted(-lengths, -np.arange(steps), "left")  # texts longer than t
-    labels, came = np.zeros(len(scores), np.int8), np.zeros((len(scores), n_langs), np.int8)
-    v, own = np.zeros((len(lengths), n_langs), np.float32), np.arange(n_langs, dtype=np.int8)
+    kind = np.int8 if n_langs < 128 else np.int16
+    labels, came = np.zeros(len(scores), kind), np.zeros((len(scores), n_langs), kind)
+    v, own = np.zeros((len(lengths), n_langs), np.float32), np.arange(n_langs, dtype=kind)
     for t in range(steps):
         a = active[t]
         now, rows = v[:a], starts[:a] + t
         best = now.argmax(1)
         jump = now[np.arange(a), best][:, None] - switch
         stay = now >= jump
-        came[rows] = np.where(stay, own, best[:, None].astype(np.int8))
+        came[rows] = np.where(stay, own, best[:, None].astype(kind))
         v[:a] = np.where(stay, now, jump) + scores[rows]
     at = v.argmax(1)
     for t in range(steps - 1, -1, -1):

@@ -50,3 +50,12 @@ def test_held_out_accuracy_edges_and_spans(spark):
 
 def test_scripts():
     assert L.NAMES[L.script("привет")] == "cyrillic" and L.script("12") == -1 and L.NAMES[L.script("中文a")] == "han"
+
+
+def test_two_hundred_languages():
+    rng = np.random.default_rng(4)
+    first = np.array([0, 7, 9])
+    scores = rng.normal(size=(9, 200)).astype(np.float32)
+    scores[:7, 150] += 20
+    scores[7:, 199] += 20
+    assert L.viterbi(scores, first).tolist() == [150] * 7 + [199] * 2
