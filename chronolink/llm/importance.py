@@ -14,7 +14,7 @@ Tokens are runs of letters and digits, or runs of other characters that are no
 white space, in lower case for ASCII. Null or empty text has no n-grams: its
 weight is the smallest there is, log ratio ``FLOOR``. Equal keys (repeated
 rows) are ordered by doc_id; rows equal in both are drawn alike as far as k
-allows. Without target rows the raw model is the target: a uniform draw.
+allows. A doc_id with two labels counts as good. Without target rows the raw model is the target: a uniform draw.
 """
 
 from __future__ import annotations
@@ -66,7 +66,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TARGET_ROWS) -> Model:
     """Count n-grams of all documents, and of about ``rows`` labelled good ones at most, taken by a hash of their ids."""
-    labels = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_good")).where("_id is not null and _good in (0, 1)").dropDuplicates(["_id"])
+    labels = labels.select(F.col("doc_id").alias("_id"), F.col("quality").cast("int").alias("_good")).where("_id is not null and _good in (0, 1)").groupBy("_id").agg(F.max("_good").alias("_good"))
     n = {r[0]: r[1] for r in labels.groupBy("_good").count().collect()}
     unit = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit("dsir")), F.lit(1 << 20)) / float(1 << 20)
     taken = labels.where((F.col("_good") == 1) & (unit < min(1.0, rows / max(1, n.get(1, 0)))))  # about ``rows`` rows of two numbers
