@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -28,6 +29,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release() -> None:
+    """Give memory that is free in this Python worker back to the system: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterable[pa.RecordBatch]], Iterable[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterable[pa.RecordBatch]]:
+    """run, after which the worker's free memory is given back."""
+
+    def wrapped(batches: Iterable[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -52,14 +52,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text
-from .common import checkpointed
+from .common import checkpointed, lean, release
 from .components import components
 
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 20, 4
 HEAVY, SKETCH = 64, 1 << 18
 #: Text bytes of a chunk that asks for shared shingles; shingles that a hash block holds; shingles of one linking task.
-CHUNK_BYTES, BLOCK_SHINGLES, BLOCK_TOKENS = 4 << 20, 1 << 20, 1 << 20
+CHUNK_BYTES, BLOCK_SHINGLES, BLOCK_TOKENS = 4 << 20, 1 << 20, 1 << 18
 #: Rows up to which a table of ids (16 bytes each) is sent to all tasks; beyond it both sides are dealt by id.
 BROADCAST_IDS = 1 << 20
 #: Text bytes whose samples are drawn at a time, so that arrays stay in the processor's cache.
@@ -129,7 +129,7 @@ def _sketched(docs: DataFrame, sketch: int) -> tuple[np.ndarray, int]:
 
     schema = "part int, n binary, docs long"
     total, n = np.zeros((2, sketch), np.int64), 0
-    for r in docs.select("text").mapInArrow(count, schema).repartition(_PARTS, "part").mapInArrow(add, schema).toLocalIterator():
+    for r in docs.select("text").mapInArrow(lean(count), schema).repartition(_PARTS, "part").mapInArrow(add, schema).toLocalIterator():
         total[:, r.part * step : (r.part + 1) * step] = np.frombuffer(r.n, np.int64).reshape(2, step)
         n += r.docs
     return total, n
@@ -175,7 +175,7 @@ def document_frequency(docs: DataFrame, heavy: int = HEAVY, sketch: int = SKETCH
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([h[m >= least].tobytes()], pa.binary()), pa.array([m[m >= least].tobytes()], pa.binary())], names=["part", "h", "n"])
 
     schema = "part int, h binary, n binary"
-    rows = sorted(docs.select("text").mapInArrow(count, schema).repartition(_PARTS, "part").mapInArrow(add, schema).collect(), key=lambda r: r.part)
+    rows = sorted(docs.select("text").mapInArrow(lean(count), schema).repartition(_PARTS, "part").mapInArrow(add, schema).collect(), key=lambda r: r.part)
     empty = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     return np.concatenate(empty[0] + [np.frombuffer(r.h, np.uint64) for r in rows]), np.concatenate(empty[1] + [np.frombuffer(r.n, np.int64) for r in rows]), n
 
@@ -290,7 +290,7 @@ def signatures(docs: DataFrame, weights: Weights) -> DataFrame:
                 sizes = np.diff(text.utf8(part.column(1))[1]).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(whole.view(np.int64), mask=~some), pa.array(sizes), bands(doc, h, weigh(h, count), part.num_rows)], names=["doc_id", "whole", "size", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, whole long, size long, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, whole long, size long, bands array<long>")
 
 
 def _sent(ids: DataFrame) -> DataFrame:
@@ -363,6 +363,7 @@ def survivors(texts: DataFrame, total: int, weights: Weights, similar: float) ->
                 if min(by_weight, by_number) <= 1 - similar + 1e-5:
                     rows.append((x, len(h), h.tobytes(), w.tobytes(), min(by_weight, by_number)))
         cols = list(zip(*rows)) or [()] * 5
+        release()
         return pa.table({"whole": pa.array(cols[0], pa.int64()), "n": pa.array(cols[1], pa.int64()), "h": pa.array(cols[2], pa.binary()), "w": pa.array(cols[3], pa.binary()), "own": pa.array(cols[4], pa.float64())})
 
     told = chunks.applyInArrow(ask, "block long, chunk long, h binary, many binary").groupBy("block").applyInArrow(answer, "block long, chunk long, n long, many binary")
@@ -437,6 +438,8 @@ def _linking(similar: float):  # noqa: ANN202
         h, w = (np.frombuffer(b"".join(t[c].to_pylist()), kind) for c, kind in (("h", np.uint64), ("w", np.float32)))
         asks = t["asks"].to_numpy(zero_copy_only=False)
         found = joining_links(t["whole"].to_numpy(), t["n"].to_numpy(), h, w, t["label"].to_numpy(), asks if asks.any() else None, similar)
+        del t, h, w
+        release()
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
     return run

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import text
 from .bpe import Codec, id_bytes, uncollected
-from .common import checkpointed, tokenizer_path
+from .common import checkpointed, lean, tokenizer_path
 
 SIZE, END_ID, PART = 4096, 1, 50_000
 
@@ -98,7 +98,7 @@ def pieces(docs: DataFrame, size: int = SIZE, path: str | None = None) -> DataFr
                     c = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), _PIECES)
 
 
 def _packed(rows: DataFrame, size: int, part: int, turn: int) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import text
-from .common import without
+from .common import release, without
 
 WINDOW, GRAM = 13, 7
 #: Text bytes that a chunk holds on average, and hash entries that a block holds on average.
@@ -265,6 +265,8 @@ def dedup(docs: DataFrame, text_col: str = "text", key: str = "doc_id", window:
                 columns.append(pa.array(spans, _ARROW))
                 names.append("factors")
             done.append(pa.RecordBatch.from_arrays(columns, names=names))
+        del h, check, source, where
+        release()
         if not done:
             return pa.Table.from_batches([], schema=empty)
         return pa.Table.from_batches(done)

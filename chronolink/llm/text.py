@@ -37,7 +37,7 @@ def _powers(base: int, n: int) -> np.ndarray:
         have = np.full(max(n, 1 << 16), base, np.uint64)
         have[0] = 1
         have = _POWERS[base] = np.multiply.accumulate(have)
-        if len(have) > 16 * SLICE_BYTES:  # one very long text: don't hold on to it
+        if len(have) > 2 * SLICE_BYTES:  # one very long text: don't hold on to it
             del _POWERS[base]
     return have[:n]
 
