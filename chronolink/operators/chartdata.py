@@ -19,10 +19,11 @@ def weight(p: Column) -> Column:
 def histogram(df: DataFrame, value: str, bins: int, by: list[str] | None = None, lo: float | None = None, hi: float | None = None) -> DataFrame:
     """Counts of equal-width bins per group, over the given range or the group's own."""
     by = by or []
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     d = df.where(F.col(value).isNotNull())
-    a = F.lit(lo) if lo is not None else F.min(value).over(w)
-    b = F.lit(hi) if hi is not None else F.max(value).over(w)
+    if lo is None or hi is None:
+        own = d.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+        d = d.join(own, by) if by else d.crossJoin(F.broadcast(own))  # without groups, own is one row
+    a, b = F.lit(lo) if lo is not None else F.col("_lo"), F.lit(hi) if hi is not None else F.col("_hi")
     d = d.withColumn("_a", a).withColumn("_w", (b - a) / bins)
     bin_ = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col(value) - F.col("_a")) / F.nullif(F.col("_w"), F.lit(0.0))))).cast("int")
     return d.groupBy(*by, F.coalesce(bin_, F.lit(0)).alias("bin")).agg(F.count("*").alias("n"), (F.min("_a") + F.coalesce(bin_min(bin_), F.lit(0)) * F.min("_w")).alias("left"))
@@ -59,8 +60,8 @@ def spectrum(df: DataFrame, x: str, y: str, segment: int = 64) -> DataFrame:
 
 def flow(e: DataFrame, value: str = "statistic") -> DataFrame:
     """Edges with weights scaled to [0, 1], and the targets' in-degree."""
-    w = Window.partitionBy(F.lit(0))  # an edge table of one run
-    lo, hi = F.min(value).over(w), F.max(value).over(w)
+    e = e.crossJoin(F.broadcast(e.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))))  # one row
+    lo, hi = F.col("_lo"), F.col("_hi")
     return e.select("source", "target", "lag_steps", value, ((F.col(value) - lo) / F.nullif(hi - lo, F.lit(0.0))).alias("width"), F.count("*").over(Window.partitionBy("target")).alias("in_degree"))
 
 

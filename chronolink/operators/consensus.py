@@ -18,8 +18,8 @@ WEIGHTS = {
     "nonlinear": {"pcmci": 0.6, "lpcmci": 0.5, "granger": 0.2, "varlingam": 0.7, "transfer_entropy": 0.9, "predictive_baseline": 0.4, "correlation": 0.1},
     "linear_confounded": {"pcmci": 0.5, "lpcmci": 1.0, "granger": 0.4, "varlingam": 0.3, "transfer_entropy": 0.5, "predictive_baseline": 0.2, "correlation": 0.1},
 }
-#: Order in which methods' rows arrive, and their weight in the score of a direction.
-ORDER, SCORE_WEIGHT = ["Granger", "TransferEntropy", "PCMCI+"], {"Granger": 1.0, "TransferEntropy": 0.8, "PCMCI+": 0.6}
+# Order in which methods' rows arrive, and their weight in the score of a direction.
+ORDER, SCORE_WEIGHT = ["Granger", "TransferEntropy", "PCMCI+"], {"Granger": 1.0, "PCMCI+": 0.8, "TransferEntropy": 0.6}
 
 
 def _map(values: dict, key: Column, default) -> Column:

@@ -22,6 +22,11 @@ from .correlation import Pairs, pair_rows
 from .fdr import benjamini_hochberg, monte_carlo_p
 from .transforms import discretize, lag_embed
 
+
+def _unit(edges: DataFrame) -> list[str]:
+    return [UNIT] if UNIT in edges.columns else []
+
+
 # ---- Granger ---------------------------------------------------------------------------------------------------------
 
 
@@ -111,28 +116,34 @@ def bidirectional(edges: DataFrame) -> DataFrame:
 
 def transitive_reduction(edges: DataFrame) -> DataFrame:
     """Edges a->c without those for which a->b and b->c are edges too."""
-    e = edges.where("is_significant").select("source", "target").distinct()
-    two = e.alias("x").join(e.alias("y"), F.col("x.target") == F.col("y.source")).where("x.source <> y.target").select(F.col("x.source").alias("source"), F.col("y.target").alias("target")).distinct()
-    return edges.join(two, ["source", "target"], "left_anti")
+    unit = _unit(edges)
+    e = edges.where("is_significant").select(*unit, "source", "target").distinct()
+    two = e.withColumnRenamed("target", "via").join(e.select(*unit, F.col("source").alias("via"), "target"), [*unit, "via"]).where("source <> target").select(*unit, "source", "target").distinct()
+    return edges.join(two, [*unit, "source", "target"], "left_anti")
 
 
 def mediators(edges: DataFrame) -> DataFrame:
-    """(source, target, mediator) of edges with a significant two-step path."""
-    e = edges.where("is_significant").select("source", "target").distinct()
-    x, y, z = e.alias("x"), e.alias("y"), e.alias("z")
-    return x.join(y, F.col("x.source") == F.col("y.source")).join(z, (F.col("z.source") == F.col("y.target")) & (F.col("z.target") == F.col("x.target"))).where("y.target <> x.target and y.target <> x.source").select(F.col("x.source").alias("source"), F.col("x.target").alias("target"), F.col("y.target").alias("mediator"))
+    """(source, target, mediator) of edges with a significant two-step path, per unit where there are units."""
+    unit = _unit(edges)
+    e = edges.where("is_significant").select(*unit, "source", "target").distinct()
+    first, second = e.withColumnRenamed("target", "mediator"), e.withColumnRenamed("source", "mediator")
+    return first.join(second, [*unit, "mediator"]).join(e, [*unit, "source", "target"], "left_semi").where("mediator <> target and mediator <> source").select(*unit, "source", "target", "mediator")
 
 
 def mediator_pruning(df: DataFrame, edges: DataFrame, cols: list[str], alpha: float = 0.05) -> DataFrame:
-    """Edges without those that lag-1 tests given a mediator make insignificant."""
-    m = mediators(edges).distinct().collect()  # bounded by the cube of the variables' number
-    lost = []
-    for r in m:
-        g = granger(df, [r.source, r.target, r.mediator], [(r.source, r.target)], maxlag=3, alpha=alpha)
-        lost.append(g.groupBy("source", "target").agg(F.min("p_value").alias("p")).where(F.col("p") >= alpha).select("source", "target"))
-    for gone in lost:
-        edges = edges.join(gone, ["source", "target"], "left_anti")
-    return edges
+    """Edges without those that tests of up to three lags given a mediator make insignificant in their unit. All triples of
+    all units are groups of one plan."""
+    values = F.map_from_arrays(F.array(*map(F.lit, cols)), F.array(*[F.col(c).cast("double") for c in cols]))
+    at = lambda c: F.element_at("_v", F.col(c)).alias(f"_{c}")
+    rows = df.select(UNIT, IDX, values.alias("_v")).join(mediators(edges), UNIT).select(UNIT, IDX, "source", "target", "mediator", at("source"), at("target"), at("mediator"))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x = pdf.sort_values(IDX)[["_source", "_target", "_mediator"]].to_numpy(float)
+        p = _granger_unit(x, [(0, 1)], 3, alpha, True, 2.0)[0]["p_value"]
+        return pd.DataFrame([[*key[:3], p]])
+
+    tests = rows.groupBy(UNIT, "source", "target", "mediator").applyInPandas(run, "unit_id string, source string, target string, p double")
+    return edges.join(tests.where(F.col("p") >= alpha).select(UNIT, "source", "target").distinct(), [UNIT, "source", "target"], "left_anti")
 
 
 def fit_var(df: DataFrame, cols: list[str], maxlags: int = 12, ic: str = "aic") -> DataFrame:
@@ -340,17 +351,22 @@ def predictive_baseline(df: DataFrame, cols: list[str], target: str, lags: int =
 
 
 def choose_test(df: DataFrame, cols: list[str]) -> str:
-    """parcorr, robust_parcorr or cmiknn: nonlinear if a RESET test says so in some pair and the rows suffice, robust if the
-    first variable is not normal."""
+    """parcorr, robust_parcorr or cmiknn: nonlinear if a RESET test says so in some pair (all ordered pairs at lags 1 to 3, the
+    first 20 unordered ones at lag 0) or distance correlation stands where linear correlation does not (first 10 of those),
+    and the rows suffice; robust if the first variable is not normal."""
+    from .correlation import distance, pearson
     from .adequacy import suggest_test
     from .memory import jarque_bera, reset
 
     if len(cols) < 2:
         return "parcorr"
-    pairs = [(a, b) for a in cols for b in cols if a != b][:20]
-    low = reset(df, pairs, [0, 1, 2, 3]).agg(F.min("p_value")).first()[0]
+    pairs, same = [(a, b) for a in cols for b in cols if a != b], [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
+    tests = reset(df, pairs, [1, 2, 3]).select("p_value").unionByName(reset(df, same[:20], [0]).select("p_value"))
+    low = tests.agg(F.min("p_value")).first()[0]
     n = df.na.drop(subset=cols).count()
-    if low is not None and low < 0.01:
+    both = distance(df, same[:10]).select(UNIT, "source", "target", F.col("r").alias("d")).join(pearson(df, same[:10]).select(UNIT, "source", "target", F.abs("r").alias("r")), [UNIT, "source", "target"])
+    apart = both.where("d > 0.05 and r < 0.05 and d > 3 * r").head(1)
+    if apart or (low is not None and low < 0.01):
         return suggest_test(n, len(cols), min(12, max(1, n // 10)), True)
     p = jarque_bera(df, cols[:1]).agg(F.min("p_value")).first()[0]
     return "robust_parcorr" if p is not None and p < 0.01 else "parcorr"

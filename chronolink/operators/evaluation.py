@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +18,11 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
 
 
-def binary(found: DataFrame, truth: DataFrame, directed: bool = True, by: str = "method") -> DataFrame:
-    """Per method: tp, fp, fn, precision, recall, f1, fdr, n_reversals, shd."""
-    methods = found.select(by).distinct()
+def binary(found: DataFrame, truth: DataFrame, directed: bool = True, by: str = "method", methods: list[str] | None = None) -> DataFrame:
+    """Per method: tp, fp, fn, precision, recall, f1, fdr, n_reversals, shd. A method of ``methods`` that found nothing has
+    recall 0 and lacks every true edge."""
+    run = found.select(by)
+    methods = (run if methods is None else run.unionByName(found.sparkSession.createDataFrame([(m,) for m in methods], f"{by} string"))).distinct()
     f = (found.select(by, "source", "target").distinct() if directed else undirected(found, by)).withColumn("f", F.lit(1))
     t = truth.select("source", "target").distinct() if directed else undirected(truth)
     t = methods.crossJoin(F.broadcast(t)).withColumn("t", F.lit(1))  # a row for each method and true edge
@@ -84,9 +88,10 @@ def two_cycles(e: DataFrame) -> DataFrame:
 
 def is_dag(e: DataFrame) -> DataFrame:
     """One row: whether no variable reaches itself, by the transitive closure; the path length is bounded by the variables."""
-    e.select("source", "target").distinct().createOrReplaceTempView("_dag_edges")
+    view = f"_edges_{uuid.uuid4().hex}"
+    e.select("source", "target").distinct().createOrReplaceTempView(view)
     n = e.select("source").union(e.select("target")).distinct().count()
-    return e.sparkSession.sql(f"""WITH RECURSIVE r(s, t, k) AS (SELECT source, target, 1 FROM _dag_edges UNION ALL SELECT DISTINCT r.s, d.target, r.k + 1 FROM r JOIN _dag_edges d ON r.t = d.source WHERE r.k < {max(1, n)})
+    return e.sparkSession.sql(f"""WITH RECURSIVE r(s, t, k) AS (SELECT source, target, 1 FROM {view} UNION ALL SELECT DISTINCT r.s, d.target, r.k + 1 FROM r JOIN {view} d ON r.t = d.source WHERE r.k < {max(1, n)})
     SELECT count_if(s = t) = 0 AS is_dag FROM (SELECT DISTINCT s, t FROM r)""")
 
 

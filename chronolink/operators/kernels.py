@@ -129,15 +129,23 @@ class CMIKnn:
 
 
 class GPDC:
-    """Distance correlation of Gaussian-process residuals, with permutation."""
+    """Distance correlation of Gaussian-process residuals, with permutation. All rows count; the kernel matrix has their
+    number squared, so a series of over ``MOST`` rows is refused."""
 
-    def __init__(self, rows: np.ndarray, surrogates: int = 100, seed: int = 0, most: int = 500) -> None:
-        self.rows, self.surrogates, self.rng = (rows[:most] - rows[:most].mean(0)) / np.maximum(rows[:most].std(0), 1e-12), surrogates, np.random.default_rng(seed)
+    MOST = 10_000
+
+    def __init__(self, rows: np.ndarray, surrogates: int = 100, seed: int = 0) -> None:
+        if len(rows) > self.MOST:
+            raise ValueError(f"gpdc takes series of up to {self.MOST} rows, this one has {len(rows)}; use cmiknn or robust_parcorr")
+        self.rows, self.surrogates, self.rng = (rows - rows.mean(0)) / np.maximum(rows.std(0), 1e-12), surrogates, np.random.default_rng(seed)
 
     def residual(self, y: np.ndarray, z: np.ndarray) -> np.ndarray:
         if not z.shape[1]:
             return y
-        k = np.exp(-0.5 * ((z[:, None, :] - z) ** 2).sum(2) / z.shape[1])
+        k = np.zeros((len(y), len(y)))
+        for column in z.T:
+            k += (column[:, None] - column) ** 2
+        k = np.exp(-0.5 * k / z.shape[1])
         return y - k @ np.linalg.solve(k + 0.5 * np.eye(len(y)), y)
 
     def test(self, x: int, y: int, z: list[int]) -> tuple[float, float]:

@@ -65,10 +65,8 @@ def mask_coverage(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """For mask or flag columns: rows that count as valid (0 if numeric, else known), in percent."""
     cols = mask_columns(df) if cols is None else cols
     number = set(numeric_columns(df, ()))
-    parts = [df.agg(F.lit(c).alias("column"), F.count_if((F.col(c) == 0) if c in number else F.col(c).isNotNull()).alias("n_valid"), F.count("*").alias("n")) for c in cols]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    counts = df.agg(F.count("*").alias("n"), *[F.count_if((F.col(c) == 0) if c in number else F.col(c).isNotNull()).alias(f"_{k}") for k, c in enumerate(cols)])
+    out = counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_{k}").alias("n_valid"), F.col("n")) for k, c in enumerate(cols)])))
     return out.withColumn("coverage_pct", 100.0 * F.col("n_valid") / F.col("n"))
 
 

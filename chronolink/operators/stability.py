@@ -66,9 +66,11 @@ def edge_slopes(df: DataFrame, edges: list[tuple[str, str, int]], env: str = "en
 
 
 def edge_stability(df: DataFrame, edges: list[tuple[str, str, int]], env: str | None = None, n_blocks: int = 3, method: str = "ci_overlap", least: int = 30) -> DataFrame:
-    """ICP-style stability of edges over the values of env, or over blocks of time."""
+    """ICP-style stability of edges over the values of env, or per unit over blocks of its time."""
     d = temporal_environments(df, n_blocks) if env is None else df
-    return homogeneity(edge_slopes(d, edges, env or "env", least), ["source", "target", "lag_steps"], method)
+    slopes, key = edge_slopes(d, edges, env or "env", least), ["source", "target", "lag_steps"]
+    # blocks of time belong to a unit; a given environment may span units or be one
+    return homogeneity(slopes, [UNIT, *key] if env is None else key, method)
 
 
 def windows(df: DataFrame, size: int, step: int) -> DataFrame:
@@ -104,7 +106,7 @@ def expanding_folds(df: DataFrame, n_splits: int = 3) -> DataFrame:
 
 def fold_votes(edges: DataFrame, n_splits: int = 3) -> DataFrame:
     """Edges (fold, source, target, is_significant): in how many folds they are found; stable: in all but one at least."""
-    g = edges.where("is_significant").groupBy("source", "target").agg(F.countDistinct("fold").alias("n_folds"))
+    g = edges.where("is_significant").groupBy(*[c for c in (UNIT,) if c in edges.columns], "source", "target").agg(F.countDistinct("fold").alias("n_folds"))
     return g.withColumn("stable", F.col("n_folds") >= max(1, n_splits - 1))
 
 
@@ -113,8 +115,9 @@ def halves(df: DataFrame) -> DataFrame:
 
 
 def link_frequency(links: DataFrame, n: int) -> DataFrame:
-    """Links (b, source, target, lag_steps, strength) of n resamples: frequency, mean and 95 % interval of the strength."""
-    return links.groupBy("source", "target", "lag_steps").agg((F.count("*") / F.lit(n)).alias("frequency"), F.avg(F.abs("strength")).alias("mean_strength"), F.percentile(F.abs("strength"), F.lit(0.025)).alias("ci_low"), F.percentile(F.abs("strength"), F.lit(0.975)).alias("ci_high"))
+    """Links (b, source, target, lag_steps, strength) of n resamples, per unit where there are units: frequency, mean and 95 %
+    interval of the strength."""
+    return links.groupBy(*[c for c in (UNIT,) if c in links.columns], "source", "target", "lag_steps").agg((F.count("*") / F.lit(n)).alias("frequency"), F.avg(F.abs("strength")).alias("mean_strength"), F.percentile(F.abs("strength"), F.lit(0.025)).alias("ci_low"), F.percentile(F.abs("strength"), F.lit(0.975)).alias("ci_high"))
 
 
 def robustness_class(stability: Column) -> Column:
@@ -128,7 +131,7 @@ def variant_stability(detections: DataFrame) -> DataFrame:
 
 
 def unit_jaccard(links: DataFrame, keys: list[str]) -> DataFrame:
-    """Jaccard index of each two units' link sets."""
+    """Jaccard index of each two units' link sets: as many rows as pairs of units, which is what is asked for."""
     e = links.select(UNIT, *keys).distinct()
     n = e.groupBy(UNIT).agg(F.count("*").alias("n"))
     pairs = n.select(F.col(UNIT).alias("a"), F.col("n").alias("na")).join(n.select(F.col(UNIT).alias("b"), F.col("n").alias("nb")), F.col("a") < F.col("b"))

@@ -34,11 +34,8 @@ def surrogate_series(df: DataFrame, cols: list[str], kind: str, b: int, seed: in
 def falsify(df: DataFrame, edges: list[tuple[str, str, int]], kinds: tuple[str, ...] = ("block_permutation", "iaaft"), b: int = 99, alpha: float = 0.05, seed: int = 42, per_group: int = 25) -> DataFrame:
     """Per unit, edge and kind: the F test's p, the share of surrogate sources with as small a p, and whether both are under
     alpha. Surrogates are dealt to groups of ``per_group``."""
-    rows = None
-    for s, t, lag in edges:
-        one = df.select(UNIT, IDX, F.lit(s).alias("source"), F.lit(t).alias("target"), F.lit(lag).alias("lag_steps"), F.col(s).cast("double").alias("x"), F.col(t).cast("double").alias("y"))
-        rows = one if rows is None else rows.unionByName(one)
-    parts = -(-b // per_group)
+    cells = [F.struct(F.lit(s).alias("source"), F.lit(t).alias("target"), F.lit(lag).alias("lag_steps"), F.col(s).cast("double").alias("x"), F.col(t).cast("double").alias("y")) for s, t, lag in edges]
+    rows, parts = df.select(UNIT, IDX, F.inline(F.array(*cells))), -(-b // per_group)
     rows = rows.where("x is not null and y is not null").select("*", F.explode(F.array(*map(F.lit, kinds))).alias("kind")).select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -56,7 +53,7 @@ def falsify(df: DataFrame, edges: list[tuple[str, str, int]], kinds: tuple[str,
 
 
 def summarize(tests: DataFrame) -> DataFrame:
-    return tests.groupBy("source", "target", "lag_steps").agg(F.count_if("passed").cast("int").alias("falsification_passed"), F.count("*").cast("int").alias("falsification_total"))
+    return tests.groupBy(*[c for c in (UNIT,) if c in tests.columns], "source", "target", "lag_steps").agg(F.count_if("passed").cast("int").alias("falsification_passed"), F.count("*").cast("int").alias("falsification_total"))
 
 
 def surrogate_test(df: DataFrame, source: str, target: str, lag: int, b: int = 99, kind: str = "phase", seed: int = 42) -> DataFrame:
@@ -87,10 +84,7 @@ def block_bootstrap(df: DataFrame, source: str, target: str, lag: int, b: int =
 
 def negative_control(df: DataFrame, pairs: Pairs, b: int = 50, lag: int = 1, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """Detection rate of the F test with permuted sources: should lie near alpha."""
-    tests = None
-    for s, t in pairs:
-        one = df.select(UNIT, IDX, F.lit(s).alias("source"), F.lit(t).alias("target"), F.col(s).cast("double").alias("x"), F.col(t).cast("double").alias("y"))
-        tests = one if tests is None else tests.unionByName(one)
+    tests = df.select(UNIT, IDX, F.inline(F.array(*[F.struct(F.lit(s).alias("source"), F.lit(t).alias("target"), F.col(s).cast("double").alias("x"), F.col(t).cast("double").alias("y")) for s, t in pairs])))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(IDX)
@@ -103,7 +97,7 @@ def negative_control(df: DataFrame, pairs: Pairs, b: int = 50, lag: int = 1, alp
 
 
 def bootstrap_links(df: DataFrame, cols: list[str], b: int = 20, tau_max: int = 3, alpha: float = 0.05, seed: int = 42) -> DataFrame:
-    """Link frequencies over moving-block resamples of the rows."""
+    """Link frequencies over moving-block resamples of each unit's rows."""
     from .stability import link_frequency
 
     copies = df.na.drop(subset=cols).select(UNIT, IDX, *cols, F.explode(F.sequence(F.lit(1), F.lit(b))).alias("b"))
@@ -117,6 +111,7 @@ def bootstrap_links(df: DataFrame, cols: list[str], b: int = 20, tau_max: int =
         got = [(cols[i], cols[j], k, abs(v)) for i, j, k, v, p, q, d in kernels.pcmci(y, tau_max, alpha, False) if q < alpha]
         out = pd.DataFrame(got, columns=["source", "target", "lag_steps", "strength"])
         out.insert(0, "b", key[1])
+        out.insert(0, UNIT, key[0])
         return out
 
-    return link_frequency(copies.groupBy(UNIT, "b").applyInPandas(run, "b int, source string, target string, lag_steps int, strength double"), b)
+    return link_frequency(copies.groupBy(UNIT, "b").applyInPandas(run, "unit_id string, b int, source string, target string, lag_steps int, strength double"), b)

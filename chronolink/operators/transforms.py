@@ -93,7 +93,7 @@ def discretize(df: DataFrame, cols: list[str], bins: int = 5, method: str = "qua
     else:
         edges = df.groupBy(UNIT).agg(*[F.array(F.min(c), F.max(c)).alias(f"_{c}") for c in cols])
         code = lambda c: F.greatest(F.least(F.ceil((F.col(c) - F.col(f"_{c}")[0]) * bins / F.nullif(F.col(f"_{c}")[1] - F.col(f"_{c}")[0], F.lit(0.0))) - 1, F.lit(bins - 1)), F.lit(0))
-    out = df.join(F.broadcast(edges) if bins <= 64 else edges, UNIT)
+    out = df.join(edges, UNIT)  # a row a unit: Spark broadcasts it where it is small
     return _each(out, cols, lambda c: F.when(F.col(c).isNotNull(), code(c)).cast("int")).drop(*[f"_{c}" for c in cols])
 
 

@@ -80,12 +80,13 @@ def run(df: DataFrame, path: str, options: Options = Options(), truth: DataFrame
     if edges is None:
         raise RuntimeError("no method succeeded")
     edges = keep("edges", edges.withColumn("lag_days", F.col("lag_steps") * options.sampling_days))
-    c = keep("consensus", consensus.consensus(edges.where("method in ('Granger', 'TransferEntropy', 'PCMCI+')").drop(UNIT), min_votes=options.min_votes, alpha=options.alpha, sampling_days=options.sampling_days))
+    c = keep("consensus", consensus.consensus(edges.where("method in ('Granger', 'TransferEntropy', 'PCMCI+')"), min_votes=options.min_votes, alpha=options.alpha, sampling_days=options.sampling_days))
     found = [(r.source, r.target, max(1, r.lag_steps)) for r in c.select("source", "target", "lag_steps").distinct().collect()]  # bounded by pairs x lags
     if found:
         tests = keep("falsification", surrogates.summarize(surrogates.falsify(d, found, b=options.surrogates, alpha=options.alpha)))
         icp = keep("stability", stability.edge_stability(d, found, options.env))
-        c = c.join(tests, ["source", "target", "lag_steps"], "left").join(icp, ["source", "target", "lag_steps"], "left")
+        key = ["source", "target", "lag_steps"]
+        c = c.join(tests, [UNIT, *key], "left").join(icp, [UNIT, *key] if options.env is None else key, "left")
     c = keep("tiers", consensus.add_tiers(c))
     keep("tier_summary", consensus.tier_summary(c))
     keep("strata", consensus.stratify(edges))
@@ -95,7 +96,7 @@ def run(df: DataFrame, path: str, options: Options = Options(), truth: DataFrame
     total = sum(w.get(m, 0.3) for m in have)
     keep("ensemble", consensus.ensemble(edges, {m: w.get(m, 0.3) / total for m in have}))
     if truth is not None:
-        keep("recovery", evaluation.binary(edges.where("is_significant"), truth))
+        keep("recovery", evaluation.binary(edges.where("is_significant").select("method", "source", "target"), truth, methods=have))
     log.results(c)
     out["log"] = log.log
     return out

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import adequacy, chartdata, consensus, correlation, diagnostics, discovery, evaluation, fdr, memory, quality, stability, surrogates, transforms
+from .operators import adequacy, chartdata, consensus, correlation, diagnostics, discovery, evaluation, fdr, memory, quality, reports, robustness, stability, surrogates, transforms
 from .plans import router
 from .schema import IDX, TS, UNIT, normalise_edges
 from .sources import io, views
@@ -378,12 +378,21 @@ def _(spark, sf):
     return views.read(spark, sf, "lineitem").groupBy("l_returnflag").agg(fdr.monte_carlo_p(F.lit(45.0), F.col("l_quantity")).alias("p_value"))
 
 
-@query("lagged_corr_best", None)
+_BOTH = f", q AS (SELECT * FROM pr WHERE x IS NOT NULL AND y IS NOT NULL), k AS (SELECT source, target, lag, {_RANK.format(c='x')} AS x, {_RANK.format(c='y')} AS y FROM q), s AS (SELECT source, target, lag, {_C} AS sr FROM k GROUP BY ALL), c AS (SELECT source, target, lag, count(*) AS n, {_C} AS r FROM q GROUP BY ALL), j AS (SELECT c.*, sr FROM c JOIN s USING (source, target, lag))"
+
+
+@query("lagged_corr_best", sql("planted") + ", " + pair_sql("planted", PAIRS, [1, 2, 3, 4]) + _BOTH + f""", b AS (SELECT *, CASE WHEN abs(sr) > abs(r) THEN 'spearman' ELSE 'pearson' END AS m, CASE WHEN abs(sr) > abs(r) THEN sr ELSE r END AS br FROM j)
+SELECT 'all' AS unit_id, source, target, lag, n, {R('r')} AS pearson_r, {R('sr')} AS spearman_r, m AS best_method, {R('br')} AS best_r, {R(t_sql('br', 'n'))} AS best_p, {t_sql('br', 'n')} < 0.05 AS is_significant, true AS is_best_lag, CAST(lag AS DOUBLE) AS lag_days FROM b QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY abs(br) DESC, lag) = 1""")
 def _(spark, sf):
     return correlation.lagged(views.planted(spark, sf), PAIRS, 4).where("is_best_lag")
 
 
-@query("corr_batch_fdr", None)
+def _q_sql(p: str) -> str:
+    return f"greatest({p}, least(1.0, min({p} * m / {p}_rk) OVER (ORDER BY {p} DESC, {p}_rk DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)))"
+
+
+@query("corr_batch_fdr", sql("ship_daily") + ", " + pair_sql("ship_daily", _UP, [0]) + _BOTH + f""", p AS (SELECT *, {t_sql('r', 'n')} AS pp, {t_sql('sr', 'n')} AS sp FROM j), b AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY pp) AS pp_rk, row_number() OVER (ORDER BY sp) AS sp_rk FROM p)
+SELECT 'all' AS unit_id, source, target, n, {R('r')} AS pearson_r, {R('pp')} AS pearson_p, {R('sr')} AS spearman_r, {R('sp')} AS spearman_p, {R(_q_sql('pp'))} AS pearson_q, {_q_sql('pp')} <= 0.05 AS pearson_significant_fdr, {R(_q_sql('sp'))} AS spearman_q, {_q_sql('sp')} <= 0.05 AS spearman_significant_fdr FROM b""")
 def _(spark, sf):
     return correlation.batch(views.ship_daily(spark, sf), _UP)
 
@@ -571,13 +580,67 @@ for _name, _f in {
     "surrogate_test": lambda s, d: surrogates.surrogate_test(views.planted(s, d), "X", "Y", 2, 50),
     "negative_control": lambda s, d: surrogates.negative_control(views.planted(s, d), [("X", "Y")], 40),
     "bootstrap_link_frequency": lambda s, d: surrogates.bootstrap_links(views.planted(s, d), PL, 8, 2),
-    "block_bootstrap_ci": lambda s, d: surrogates.block_bootstrap(views.planted(s, d), "X", "Y", 2, 50),
     "temporal_cv": lambda s, d: stability.fold_votes(discovery.granger(stability.expanding_folds(views.planted(s, d)), PL, maxlag=3, keys=("fold",))),
     "split_half_jaccard": lambda s, d: (lambda g: evaluation.set_jaccard(g.where("half = 0 and is_significant"), g.where("half = 1 and is_significant"), ["source", "target"]))(discovery.granger(stability.halves(views.planted(s, d)), PL, maxlag=3, keys=("half",))),
 }.items():
     query(_name)(_f)
 
 
+_DRAW = "CAST('0x' || substr(md5('42|' || b || '|' || i), 1, 8) AS BIGINT)"
+
+
+@query("block_bootstrap_ci", sql("planted") + f""", l AS (SELECT t_idx, lag("X", 2) OVER (ORDER BY t_idx) AS x, "Y" AS y FROM planted), r AS (SELECT x, y, (row_number() OVER (ORDER BY t_idx) - 1) // 50 AS block FROM l WHERE l.x IS NOT NULL AND l.y IS NOT NULL),
+s AS (SELECT block, count(*) AS n, sum(x) AS x, sum(y) AS y, sum(x * x) AS xx, sum(x * y) AS xy FROM r GROUP BY 1), d AS (SELECT b, {_DRAW} % (SELECT count(*) FROM s) AS block FROM (SELECT unnest(range(1, 51)) AS b), (SELECT unnest(range(0, (SELECT count(*) FROM s))) AS i)),
+g AS (SELECT b, sum(n) AS n, sum(x) AS x, sum(y) AS y, sum(xx) AS xx, sum(xy) AS xy FROM d JOIN s USING (block) GROUP BY 1), z AS (SELECT (xy - x * y / n) / (xx - x * x / n) AS s FROM g)
+SELECT 'all' AS unit_id, count(s) AS n_ok, {R('avg(s)')} AS mean, {R('quantile_cont(s, 0.025)')} AS ci_low, {R('quantile_cont(s, 0.975)')} AS ci_high FROM z""")
+def _(spark, sf):
+    return surrogates.block_bootstrap(views.planted(spark, sf), "X", "Y", 2, 50)
+
+
+@query("mean_bootstrap_ci", sql("ship_panel") + f""", v AS (SELECT unit_id, qty AS v, row_number() OVER (PARTITION BY unit_id ORDER BY t_idx) - 1 AS k FROM ship_panel WHERE qty IS NOT NULL), n AS (SELECT unit_id, count(*) AS n, avg(v) AS mean FROM v GROUP BY 1),
+i AS (SELECT unit_id, n, unnest(range(0, n)) AS i FROM n), d AS (SELECT unit_id, b, {_DRAW} % n AS k FROM i, (SELECT unnest(range(1, 41)) AS b)), m AS (SELECT unit_id, b, avg(v) AS m FROM d JOIN v USING (unit_id, k) GROUP BY ALL)
+SELECT unit_id, n, {R('mean')} AS mean, {R('quantile_cont(m, 0.025)')} AS ci_low, {R('quantile_cont(m, 0.975)')} AS ci_high FROM m JOIN n USING (unit_id) GROUP BY ALL""")
+def _(spark, sf):
+    return robustness.bootstrap_mean(views.ship_panel(spark, sf), "qty", 40)
+
+
+# ---- robustness --------------------------------------------------------------------------------------------------------
+
+
+@query("series_prewhiten", sql("ship_daily") + f""", r AS (SELECT t_idx, qty AS y, lag(qty) OVER (ORDER BY t_idx) AS x FROM ship_daily), k AS (SELECT t_idx, y - avg(y) OVER () - (covar_pop(y, x) OVER () / var_pop(x) OVER ()) * (x - avg(x) OVER ()) AS e FROM r WHERE x IS NOT NULL)
+SELECT 'all' AS unit_id, t_idx, round(e, 4) + 0.0 AS qty FROM k""")
+def _(spark, sf):
+    return robustness.prewhiten(views.ship_daily(spark, sf), "qty", 1).withColumn("qty", F.round("qty", 4))
+
+
+@query("strength_by_lag", sql("planted") + ", " + pair_sql("planted", [("X", "Y")], list(range(1, 13))) + f", c AS (SELECT source, target, lag, count(x + y) AS n, {_C} AS r FROM pr GROUP BY ALL) SELECT 'all' AS unit_id, source, target, lag, n, {R('r')} AS r, {R(t_sql('r', 'n'))} AS p_value FROM c")
+def _(spark, sf):
+    return robustness.lag_sensitivity(views.planted(spark, sf), "X", "Y", list(range(1, 13)))
+
+
+_REVERSED = _G1.replace(pair_sql("planted", PAIRS, [1]), pair_sql("planted", [("Y", "X"), ("Y", "Z")], [1]))
+
+
+@query("reverse_direction", sql("planted") + ", " + _REVERSED + f", p AS (SELECT {beta_sql('1 - r2', '((n - 3) / 2.0::DOUBLE)', '0.5::DOUBLE')} AS p FROM h) SELECT count(*) AS n_tested, {R('avg(CASE WHEN p < 0.05 THEN 1.0 ELSE 0.0 END)')} AS rate, 0.05::DOUBLE AS alpha, avg(CASE WHEN p < 0.05 THEN 1.0 ELSE 0.0 END) <= 0.08 AS ok FROM p")
+def _(spark, sf):
+    return robustness.reverse_directions(views.planted(spark, sf), [("X", "Y"), ("Z", "Y")])
+
+
+@query("drivers_ranked", sql("planted") + ", " + _EDGE_CTE + f" SELECT source, target, lag AS lag_steps, {R('abs(r)')} AS effect_size, CAST(row_number() OVER (ORDER BY abs(r) DESC, source, lag) AS INTEGER) AS rank FROM e WHERE target = 'Y'")
+def _(spark, sf):
+    return robustness.drivers(_edges(spark, sf), "Y").select("source", "target", "lag_steps", "effect_size", "rank")
+
+
+for _name, _f in {
+    "granger_seasonal_sensitivity": lambda s, d: robustness.seasonal_sensitivity(views.ship_daily(s, d), "qty", "price", 3),
+    "lag_bootstrap_ci": lambda s, d: robustness.lag_interval(views.planted(s, d), "X", "Y", 6, 40),
+    "surrogate_fpr": lambda s, d: robustness.false_positive_rate(views.planted(s, d), PL, b=6),
+    "strength_compare": lambda s, d: robustness.compare_strength(views.planted(s, d), "X", "Y", 2),
+    "effects_table": lambda s, d: robustness.effects(discovery.pcmci(views.planted(s, d), PL, 2), surrogates.bootstrap_links(views.planted(s, d), PL, 6, 2)),
+}.items():
+    query(_name)(_f)
+
+
 # ---- edges to edges ----------------------------------------------------------------------------------------------------
 
 
@@ -648,6 +711,11 @@ def _(spark, sf):
     return consensus.tier_summary(_tiered(spark)).drop("description")
 
 
+@query("tier_report", _TIERS_SQL + f" SELECT CAST(tier AS INTEGER) AS tier, count(*) AS n_edges, {R('100.0 * count(*) / 6')} AS pct, format('Tier {{}}: {{}} of 6 edges ({{:.1f}} %)', tier, count(*), 100.0::DOUBLE * count(*) / 6) AS text FROM t GROUP BY tier")
+def _(spark, sf):
+    return reports.tier_report(_tiered(spark))
+
+
 @query("vote_thresholds", _CONS + ", k(threshold) AS (VALUES (2), (3)) SELECT CAST(threshold AS INTEGER) AS threshold, count(*) AS n_edges FROM r JOIN k ON vote_count >= threshold GROUP BY threshold")
 def _(spark, sf):
     return consensus.supported_by(consensus.consensus(literal(spark)), [2, 3])
@@ -757,6 +825,11 @@ def _(spark, sf):
     return evaluation.binary(_found(spark), truth(spark), directed=False)
 
 
+@query("recovery_silent_method", recovery_sql(True).replace("ms AS (SELECT DISTINCT method FROM f)", "ms AS (SELECT DISTINCT method FROM f UNION SELECT 'LPCMCI')"))
+def _(spark, sf):
+    return evaluation.binary(_found(spark), truth(spark), methods=["Granger", "LPCMCI"])
+
+
 _NAMES = ["A", "B", "C", "X", "Y", "Z"]
 _RANKED = f"""WITH {_LIT_SQL}, {_TRUTH_SQL}, nm(v) AS (VALUES {', '.join(f"('{n}')" for n in _NAMES)}), pp AS (SELECT m.method, a.v AS source, b.v AS target FROM (SELECT DISTINCT method FROM e) m, nm a, nm b WHERE a.v <> b.v),
 s AS (SELECT pp.method, coalesce((SELECT max(1 - p_value) FROM e WHERE e.method = pp.method AND e.source = pp.source AND e.target = pp.target), 0) AS s, CASE WHEN EXISTS (SELECT 1 FROM truth t WHERE t.source = pp.source AND t.target = pp.target) THEN 1 ELSE 0 END AS t FROM pp)"""
@@ -815,7 +888,7 @@ _E = [("X", "Y", 2)]
 
 @query("icp_blocks", sql("planted") + _ENV + f" SELECT 'X' AS source, 'Y' AS target, CAST(2 AS INTEGER) AS lag_steps, count(*) AS icp_n_environments, {R('stddev_samp(slope) / abs(avg(slope))')} AS icp_test_statistic, stddev_samp(slope) / abs(avg(slope)) < 0.5 AND min(sign(slope)) = max(sign(slope)) AS icp_stable FROM s")
 def _(spark, sf):
-    return stability.edge_stability(views.planted(spark, sf), _E).drop("icp_p_value")
+    return stability.edge_stability(views.planted(spark, sf), _E).drop("icp_p_value", UNIT)
 
 
 @query("icp_slopes", sql("planted") + _ENV + f" SELECT 'all' AS unit_id, 'X' AS source, 'Y' AS target, CAST(2 AS INTEGER) AS lag_steps, env, n, {R('slope')} AS slope, {R('se')} AS se FROM s")
@@ -825,7 +898,7 @@ def _(spark, sf):
 
 @query("icp_cochran_q", sql("planted") + _ENV + f" SELECT 'X' AS source, 'Y' AS target, CAST(2 AS INTEGER) AS lag_steps, count(*) AS icp_n_environments, {R('sum(slope * slope / (se * se)) - sum(slope / (se * se)) ** 2 / sum(1 / (se * se))')} AS icp_test_statistic, {R('exp(-(sum(slope * slope / (se * se)) - sum(slope / (se * se)) ** 2 / sum(1 / (se * se))) / 2)')} AS icp_p_value FROM s")
 def _(spark, sf):
-    return stability.edge_stability(views.planted(spark, sf), _E, method="cochran").drop("icp_stable")
+    return stability.edge_stability(views.planted(spark, sf), _E, method="cochran").drop("icp_stable", UNIT)
 
 
 @query("icp_panel", sql("ship_panel") + f", l AS (SELECT unit_id, lag(qty, 1) OVER (PARTITION BY unit_id ORDER BY t_idx) AS x, price AS y FROM ship_panel), s AS (SELECT unit_id, regr_slope(y, x) AS slope FROM l WHERE x IS NOT NULL GROUP BY 1) SELECT 'qty' AS source, 'price' AS target, CAST(1 AS INTEGER) AS lag_steps, count(*) AS icp_n_environments, {R('stddev_samp(slope) / abs(avg(slope))')} AS icp_test_statistic FROM s")
@@ -949,6 +1022,6 @@ def _(spark, sf):
     return router.decide_and_run(views.planted(spark, sf), PL, PAIRS)
 
 
-@query("content_hash", "SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5(coalesce(CAST(n_nationkey AS VARCHAR), '') || '|' || n_name || '|' || CAST(n_regionkey AS VARCHAR)), 1, 15) AS BIGINT)) AS VARCHAR) AS hash FROM nation")
+@query("content_hash", "SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(md5(" + " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("n_nationkey", "n_name", "n_regionkey")) + "), 1, 15) AS BIGINT)) AS VARCHAR) AS hash FROM nation")
 def _(spark, sf):
     return io.content_hash(views.read(spark, sf, "nation"))

@@ -111,8 +111,10 @@ def write_graphml(consensus: DataFrame, path: str, alpha: float = 0.05) -> str |
     return path
 
 
-def write_edges_csv(edges: DataFrame, path: str) -> None:
-    edges.orderBy("p_value").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_edges_csv(edges: DataFrame, path: str, one_file: bool = False) -> None:
+    """Edges by p-value; parts are in order of their names. One file only where asked for: it is written by one task."""
+    rows = edges.orderBy("p_value")
+    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", True).csv(path)
 
 
 def edge_summary(edges: DataFrame) -> DataFrame:
@@ -140,6 +142,13 @@ class Store:
         except AnalysisException:
             return None
 
+    def methods(self) -> list[str]:
+        """Names of the tables that have been saved, as the file system lists them."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(s.getPath().getName() for s in fs.listStatus(path) if s.isDirectory()) if fs.exists(path) else []
+
     def metadata(self, name: str) -> dict | None:
         df = self.load(name)
         if df is None:
@@ -147,6 +156,34 @@ class Store:
         return {"rows": df.count(), "columns": df.columns, "types": dict(df.dtypes), "p_column": detect(df, PLOT_P), "lag_column": detect(df, PLOT_LAG), "has_geographic": {"latitude", "longitude"} <= set(df.columns)}
 
 
+class PlotLog:
+    """Status of each chart of a run, the last one told."""
+
+    def __init__(self) -> None:
+        self.entries: dict[str, dict] = {}
+
+    def tell(self, stage: str, method: str, plot: str, status: str = "success", error: str | None = None) -> None:
+        self.entries[f"{stage}/{method}/{plot}"] = {"status": status, "error": error, "time": time.time()}
+
+    def stats(self) -> dict[str, int]:
+        found = [e["status"] for e in self.entries.values()]
+        return {"total": len(found)} | {s: found.count(s) for s in ("success", "failed", "skipped")}
+
+
+def code_version(folder: str = ".") -> dict[str, object]:
+    """Commit, branch and whether files are changed, where the folder is under git; else nothing is known."""
+    import subprocess
+
+    def ask(*args: str) -> str | None:
+        try:
+            return subprocess.run(["git", "-C", folder, *args], capture_output=True, text=True, check=True, timeout=10).stdout.strip()
+        except (OSError, subprocess.SubprocessError):
+            return None
+
+    changed = ask("status", "--porcelain")
+    return {"commit": ask("rev-parse", "HEAD"), "branch": ask("rev-parse", "--abbrev-ref", "HEAD"), "dirty": None if changed is None else bool(changed)}
+
+
 class RunLog:
     """Parameters, data hashes, metrics, files and errors of a run, as JSON."""
 
@@ -165,17 +202,26 @@ class RunLog:
     def metric(self, name: str, value: float) -> None:
         self.log["metrics"][name] = value
 
+    def file(self, path: str, kind: str = "output", description: str | None = None) -> None:
+        self.log["files"].append({"path": path, "type": kind, "description": description, "exists": Path(path).exists()})
+
     def error(self, error: BaseException) -> None:
         self.log["errors"].append({"type": type(error).__name__, "message": str(error)})
 
+    def finalize(self) -> dict:
+        if "end" not in self.log:
+            self.log |= {"end": time.time(), "duration": time.time() - self.log["start"], "code": code_version()}
+        return self.log
+
     def save(self, path: str) -> None:
-        self.log |= {"end": time.time(), "duration": time.time() - self.log["start"]}
+        self.finalize()
         Path(path).write_text(json.dumps(self.log, default=str, indent=1))
 
 
 def content_hash(df: DataFrame) -> DataFrame:
-    """One row (n_rows, hash) that does not depend on the order of rows: the sum of the leading 60 bits of each row's MD5."""
-    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns])
+    """One row (n_rows, hash) that does not depend on the order of rows: the sum of the leading 60 bits of each row's MD5. A
+    value is preceded by its length and a null is a dash, so that no value reads like another's parts."""
+    text = F.concat(*[F.coalesce(F.concat(F.length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in df.columns])
     return df.select(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)").alias("h")).agg(F.count("*").alias("n_rows"), F.sum("h").cast("string").alias("hash"))
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolink import queries
-from chronolink.operators import consensus, correlation, discovery, evaluation, fdr, quality, stability, surrogates, transforms
+from chronolink.operators import chartdata, consensus, correlation, discovery, evaluation, fdr, kernels, quality, reports, robustness, stability, surrogates, transforms
 from chronolink.plans import pipeline, router
 from chronolink.schema import normalise_edges
 from chronolink.sources import io
@@ -86,6 +86,88 @@ def test_fdr_edges(spark):
     assert got[2] == got[3] == (None, False) and got[4] == (0.0, True) and got[1][0] == pytest.approx(0.015)
 
 
+def test_fdr_without_groups_equals_ranking_all(spark, monkeypatch):
+    monkeypatch.setattr(fdr, "RANGES", 7)
+    rng = np.random.default_rng(3)
+    p = np.round(rng.random(400) ** 3, 2)  # many ties
+    order = np.sort(p)
+    want = {v: max(v, min(1.0, *(x * len(p) / (k + 1) for k, x in enumerate(order) if x >= v and (k + 1 == len(p) or order[k + 1] > x)))) for v in set(p)}
+    got = fdr.benjamini_hochberg(spark.createDataFrame([(float(x),) for x in p], "p_value double")).collect()
+    assert len(got) == 400 and all(abs(r.q_value - want[r.p_value]) < 1e-12 for r in got)
+
+
+def test_units_keep_to_themselves(spark):
+    s = "unit_id string, source string, target string, is_significant boolean"
+    e = spark.createDataFrame([("u1", "X", "M", True), ("u2", "M", "Y", True), ("u1", "X", "Y", True), ("u3", "X", "M", True), ("u3", "M", "Y", True), ("u3", "X", "Y", True)], s)
+    kept = {(r.unit_id, r.source, r.target) for r in discovery.transitive_reduction(e).collect()}
+    assert ("u1", "X", "Y") in kept and ("u3", "X", "Y") not in kept and len(kept) == 5
+    assert [tuple(r) for r in discovery.mediators(e).collect()] == [("u3", "X", "Y", "M")]
+    votes = spark.createDataFrame([("a", "X", "Y", True, 1), ("b", "X", "Y", True, 2)], s + ", fold int")
+    assert sorted((r.unit_id, r.n_folds) for r in stability.fold_votes(votes).collect()) == [("a", 1), ("b", 1)]
+    links = spark.createDataFrame([(u, b, "X", "Y", 1, 0.5) for u in ("a", "b", "c") for b in (1, 2)], "unit_id string, b int, source string, target string, lag_steps int, strength double")
+    assert {(r.unit_id, r.frequency) for r in stability.link_frequency(links, 2).collect()} == {("a", 1.0), ("b", 1.0), ("c", 1.0)}
+    rows = [(u, m, "A", "B", 1, 0.001, 0.001, 0.5, True) for u, m in (("a", "TransferEntropy"), ("b", "PCMCI+"))]
+    v = spark.createDataFrame(rows, "unit_id string, method string, source string, target string, lag_steps int, p_value double, q_value double, effect_size double, is_significant boolean")
+    assert consensus.consensus(v).count() == 0 and consensus.consensus(v.drop("unit_id")).count() == 1
+
+
+def test_weights_of_opposite_directions(spark):
+    s = "method string, source string, target string, lag_steps int, p_value double, q_value double, effect_size double, is_significant boolean"
+    one = [("Granger", "A", "B", 1, 0.001, 0.001, 0.2, True), ("TransferEntropy", "A", "B", 1, 0.001, 0.001, 0.2, True)]
+    other = [("Granger", "B", "A", 1, 0.001, 0.001, 0.2, True), ("PCMCI+", "B", "A", 1, 0.001, 0.001, 0.2, True)]
+    assert found(consensus.consensus(spark.createDataFrame(one + other, s)), "true") == {("B", "A")}
+
+
+def test_mediator_pruning_is_per_unit(spark, network):
+    two = network.unionByName(network.withColumn("unit_id", F.lit("b")))
+    e = spark.createDataFrame([(u, a, b, True) for u in ("all", "b") for a, b in (("X0", "X1"), ("X1", "X2"), ("X0", "X2"))], "unit_id string, source string, target string, is_significant boolean").where("not (unit_id = 'b' and source = 'X1')")
+    kept = {(r.unit_id, r.source, r.target) for r in discovery.mediator_pruning(two, e, COLS).collect()}
+    assert ("all", "X0", "X2") not in kept and ("b", "X0", "X2") in kept and ("all", "X0", "X1") in kept
+
+
+def test_robustness_checks(spark, network):
+    x = robustness.simulate(400, 0.5, 0.6, 3)
+    d = spark.createDataFrame([("u", i, float(a), float(b)) for i, (a, b) in enumerate(x)], "unit_id string, t_idx long, s double, t double")
+    ci = robustness.lag_interval(d, "s", "t", 4, 20).first()
+    assert ci.best_lag == 1 and ci.ci_low == ci.ci_high == 1.0
+    e = np.array([r.s for r in robustness.prewhiten(d, "s", 1).orderBy("t_idx").collect()])
+    assert len(e) == 399 and abs(np.corrcoef(e[1:], e[:-1])[0, 1]) < 0.1
+    assert {r.metric for r in robustness.compare_strength(d, "s", "t", 1).collect()} == {"correlation", "granger", "transfer_entropy"}
+    f = {r.kind: r for r in robustness.false_positive_rate(d, ["s", "t"], b=5, tau_max=1).collect()}
+    assert set(f) == {"shuffle", "phase"} and f["shuffle"].false_positive_rate < 0.35
+    assert robustness.drivers(discovery.granger(network, COLS, maxlag=2), "X1").where("rank = 1").first().source == "X0"
+    v = robustness.variants({"alpha": 0.05, "tau": 5}, {"alpha": [0.01, 0.1], "tau": [3, 8]})
+    assert len(v) >= 6 and len({tuple(sorted(x.items())) for x in v}) == len(v)
+    assert 0.9 <= robustness.surrogate_pass_rate(10, 0.3, 0.6, b=39) and robustness.surrogate_pass_rate(10, 0.3, 0.0, b=39) <= 0.3
+    with pytest.raises(ValueError):
+        kernels.GPDC(np.zeros((kernels.GPDC.MOST + 1, 2)))
+
+
+def test_reports_and_bookkeeping(spark, tmp_path):
+    e = queries.literal(spark)
+    c = consensus.consensus(e, sampling_days=5.0)
+    text = reports.summary(c, e)
+    assert "X -> Y" in text and "Granger:" in text
+    assert reports.latex(consensus.voting_matrix(c)).count(r"\\") == consensus.voting_matrix(c).count() + 1
+    assert reports.audit_options({"confounding_risk": 0.9, "confidence": 0.3, "tau_max": 4}, {"tau_max": 7}) == {"methods": ["granger", "transfer_entropy", "pcmci", "lpcmci"], "abstain": False, "extra_checks": True, "tau_max": 7}
+    r = evaluation.binary(e.where("is_significant"), queries.truth(spark), methods=["silent"]).where("method = 'silent'").first()
+    assert (r.tp, r.fp, r.fn, r.recall, r.shd) == (0, 0, 4, 0.0, 4)
+    t = lambda *rows: io.content_hash(spark.createDataFrame(rows, "a string, b string")).first().hash
+    assert len({t(("a|b", "c")), t(("a", "b|c")), t((None, "c")), t(("", "c"))}) == 4
+    store = io.Store(spark, str(tmp_path / "s"))
+    assert store.methods() == []
+    store.save("granger", c)
+    assert store.methods() == ["granger"]
+    log = io.RunLog("x")
+    log.file(str(tmp_path / "none"))
+    assert log.finalize()["files"][0]["exists"] is False and "commit" in log.log["code"]
+    plots = io.PlotLog()
+    plots.tell("edges", "granger", "p", "failed", "no rows")
+    plots.tell("edges", "granger", "p")
+    assert plots.stats() == {"total": 1, "success": 1, "failed": 0, "skipped": 0}
+    assert chartdata.histogram(e, "p_value", 4).agg(F.sum("n")).first()[0] == 14
+
+
 def test_missing_data(spark):
     v = [None, 1.0, None, None, 4.0, None]
     df = spark.createDataFrame([("u", i, x) for i, x in enumerate(v)], "unit_id string, t_idx long, x double")
@@ -140,7 +222,7 @@ def test_streams(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["lag_corr", "series_zscore", "qc_coverage", "fdr_bh_global", "granger_f_l1", "te_discrete", "consensus_tolerance", "recovery_binary", "icp_blocks", "chart_ccf"])
+@pytest.mark.parametrize("name", ["lag_corr", "series_zscore", "qc_coverage", "fdr_bh_global", "granger_f_l1", "te_discrete", "consensus_tolerance", "recovery_binary", "icp_blocks", "chart_ccf", "lagged_corr_best", "corr_batch_fdr", "block_bootstrap_ci", "mean_bootstrap_ci", "series_prewhiten", "strength_by_lag", "reverse_direction", "drivers_ranked", "tier_report", "recovery_silent_method", "content_hash", "chart_flow", "granger_transitive_reduction", "granger_mediators", "icp_cochran_q", "te_surrogate_p"])
 def test_queries_equal_their_sql(spark, name):
     import duckdb
 
