@@ -179,6 +179,9 @@ class Codec:
         vocabulary's model; any other word goes through the whole tokenizer."""
         split, other, pieces, model = [], [], self.pieces, self.tokenizer.model
         for w in unseen:
+            if w.isalpha():  # ASCII letters alone are one piece
+                split.append((w, [w.lower().decode()]))
+                continue
             s = w.decode()
             if _PLAIN.fullmatch(s):
                 split.append((w, _PIECE.findall(s.lower())))
