@@ -274,29 +274,19 @@ def _(spark, sf):
     return correlation.spearman(views.ship_daily(spark, sf), _UP).drop("lag")
 
 
-_FEW = ", s AS (SELECT * FROM planted WHERE t_idx < 300)"
+_ALL = ", s AS (SELECT * FROM planted)"
 
 
-@query("corr_kendall_sample", sql("planted") + _FEW + f""", p AS (SELECT sign(a."X" - b."X") AS x, sign(a."Y" - b."Y") AS y FROM s a JOIN s b ON a.t_idx < b.t_idx)
+@query("corr_kendall", sql("planted") + _ALL + f""", p AS (SELECT sign(a."X" - b."X") AS x, sign(a."Y" - b."Y") AS y FROM s a JOIN s b ON a.t_idx < b.t_idx)
 SELECT 'all' AS unit_id, 'X' AS source, 'Y' AS target, (SELECT count(*) FROM s) AS n, {R('sum(x * y) / sqrt(sum(x * x) * sum(y * y))')} AS r FROM p""")
 def _(spark, sf):
-    return correlation.kendall(views.planted(spark, sf).where("t_idx < 300"), [("X", "Y")]).drop("lag")
+    return correlation.kendall(views.planted(spark, sf), [("X", "Y")]).drop("lag")
 
 
-@query("corr_distance_sample", sql("planted") + _FEW + f""", d AS (SELECT a.t_idx AS i, abs(a."X" - b."X") AS x, abs(a."Y" - b."Y") AS y FROM s a CROSS JOIN s b), m AS (SELECT i, avg(x) AS x, avg(y) AS y FROM d GROUP BY i),
+@query("corr_distance", sql("planted") + _ALL + f""", d AS (SELECT a.t_idx AS i, abs(a."X" - b."X") AS x, abs(a."Y" - b."Y") AS y FROM s a CROSS JOIN s b), m AS (SELECT i, avg(x) AS x, avg(y) AS y FROM d GROUP BY i),
 g AS (SELECT avg(x * y) AS xy, avg(x * x) AS xx, avg(y * y) AS yy, avg(x) AS gx, avg(y) AS gy FROM d), h AS (SELECT avg(x * y) AS xy, avg(x * x) AS xx, avg(y * y) AS yy FROM m),
 v AS (SELECT g.xy - 2 * h.xy + gx * gy AS xy, g.xx - 2 * h.xx + gx * gx AS xx, g.yy - 2 * h.yy + gy * gy AS yy FROM g, h)
 SELECT 'all' AS unit_id, 'X' AS source, 'Y' AS target, (SELECT count(*) FROM s) AS n, {R('sqrt(xy) / sqrt(sqrt(xx * yy))')} AS r, {R('sqrt(xy)')} AS dcov FROM v""")
-def _(spark, sf):
-    return correlation.distance(views.planted(spark, sf).where("t_idx < 300"), [("X", "Y")]).drop("lag")
-
-
-@query("corr_kendall", None)
-def _(spark, sf):
-    return correlation.kendall(views.planted(spark, sf), [("X", "Y")]).drop("lag")
-
-
-@query("corr_distance", None)
 def _(spark, sf):
     return correlation.distance(views.planted(spark, sf), [("X", "Y")]).drop("lag")
 

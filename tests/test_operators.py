@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronolink import queries
+from chronolink import edge_queries, queries  # noqa: F401
 from chronolink.operators import chartdata, consensus, correlation, discovery, evaluation, fdr, kernels, quality, reports, robustness, stability, surrogates, transforms
 from chronolink.plans import pipeline, router
 from chronolink.schema import normalise_edges
@@ -222,7 +222,7 @@ def test_streams(spark, tmp_path):
 
 
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", ["lag_corr", "series_zscore", "qc_coverage", "fdr_bh_global", "granger_f_l1", "te_discrete", "consensus_tolerance", "recovery_binary", "icp_blocks", "chart_ccf", "lagged_corr_best", "corr_batch_fdr", "block_bootstrap_ci", "mean_bootstrap_ci", "series_prewhiten", "strength_by_lag", "reverse_direction", "drivers_ranked", "tier_report", "recovery_silent_method", "content_hash", "chart_flow", "granger_transitive_reduction", "granger_mediators", "icp_cochran_q", "te_surrogate_p"])
+@pytest.mark.parametrize("name", ["lag_corr", "series_zscore", "qc_coverage", "fdr_bh_global", "granger_f_l1", "te_discrete", "consensus_tolerance", "recovery_binary", "icp_blocks", "chart_ccf", "lagged_corr_best", "corr_batch_fdr", "block_bootstrap_ci", "mean_bootstrap_ci", "series_prewhiten", "strength_by_lag", "reverse_direction", "drivers_ranked", "tier_report", "recovery_silent_method", "content_hash", "chart_flow", "granger_transitive_reduction", "granger_mediators", "icp_cochran_q", "te_surrogate_p", "edges_measured", "tier_precision", "consensus_exact_against_bands", "baseline_chi_square", "baseline_binomial", "corr_all_measures", "corr_kendall", "corr_distance", "target_entropy", "power_parcorr", "two_cycles_measured"])
 def test_queries_equal_their_sql(spark, name):
     import duckdb
 
