@@ -145,9 +145,9 @@ class Recent(dict):
 class Codec:
     """Encodes words through the lexicon, else by exact merges, remembering ``form(ids)`` of each word."""
 
-    def __init__(self, path: str, lexicon: str | None, form: Callable[[list[int]], object]) -> None:
+    def __init__(self, path: str, lexicon: str | None, form: Callable[[list[int]], object], most: int = CACHE_WORDS) -> None:
         self.tokenizer, self.form = _tokenizer(path), form
-        self.cache, self.pieces = Recent(CACHE_WORDS), Recent(CACHE_WORDS)
+        self.cache, self.pieces = Recent(most), Recent(most)
         self.lexicon = _lexicon(lexicon) if lexicon else None
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 

@@ -18,6 +18,7 @@ than doc_id and text are not used.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from itertools import count
@@ -29,10 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text
-from .bpe import Codec, id_bytes, uncollected
+from .bpe import CACHE_WORDS, Codec, id_bytes, uncollected
 from .common import checkpointed, lean, tokenizer_path
 
 SIZE, END_ID, PART = 4096, 1, 50_000
+#: For executors that earlier stages have filled: words that a worker remembers, and text bytes that it splits into words at
+#: a time. Less memory than with the defaults, more CPU.
+LEAN = {"words": 1 << 15, "slice_bytes": 1 << 19}
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -82,15 +86,16 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, in
     return bins, offsets, n_bins
 
 
-def pieces(docs: DataFrame, size: int = SIZE, path: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, size: int = SIZE, path: str | None = None, words: int = CACHE_WORDS, slice_bytes: int = text.SLICE_BYTES) -> DataFrame:
     """One row per piece of each document: doc_id, piece, start, length, ids_crc32."""
     path = path or tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, step, end = Codec(path, None, id_bytes), 4 * size, id_bytes([END_ID])
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        codec, step, end = Codec(path, None, id_bytes, words), 4 * size, id_bytes([END_ID])
         with uncollected():
             for batch in batches:
-                for part in text.slices(batch, "text"):
+                for part in text.slices(batch, "text", slice_bytes):
                     rows: list[tuple] = []
                     for doc, found in zip(part.column(0).to_pylist(), codec.encode_slice(part.column(1))):
                         ids = b"".join(found) + end
@@ -145,6 +150,6 @@ def pack_pieces(rows: DataFrame, size: int = SIZE, part: int = PART) -> DataFram
     return (current if done is None else done.unionByName(current)).drop("spare")
 
 
-def pack(docs: DataFrame, size: int = SIZE, part: int = PART, path: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, size: int = SIZE, part: int = PART, path: str | None = None, words: int = CACHE_WORDS, slice_bytes: int = text.SLICE_BYTES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset and gap of every piece of every document."""
-    return pack_pieces(checkpointed(pieces(docs, size, path)), size, part)
+    return pack_pieces(checkpointed(pieces(docs, size, path, words, slice_bytes)), size, part)

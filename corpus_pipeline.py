@@ -52,7 +52,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences."""
     ship(spark)
-    return packing.pack(docs)
+    return packing.pack(docs, **packing.LEAN)
 
 
 STAGES = [

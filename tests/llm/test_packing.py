@@ -1,11 +1,14 @@
+import itertools
 import random
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from chronolink.llm import packing
 from chronolink.llm.common import tokenizer_path
 
@@ -87,3 +90,39 @@ def test_rounds_go_on_while_bins_are_saved(spark, monkeypatch):
     df = spark.createDataFrame(rows, packing._PIECES)
     got = packing.pack_pieces(df, 32, 5).where("offset = 0").count()
     assert len(turns) > 5 and got < packing.pack_pieces(df, 32, 3000).where("offset = 0").count() * 1.1
+
+
+def test_a_worker_of_the_pipeline_remembers_a_bounded_number_of_words(spark, monkeypatch):
+    made = []
+
+    class Seen(packing.Codec):
+        def __init__(self, *args):
+            super().__init__(*args)
+            made.append(self)
+
+    class Docs:
+        """Stands in for documents: gives the function that their rows would go through."""
+
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, function, schema):
+            return function
+
+    monkeypatch.setattr(packing, "Codec", Seen)
+    monkeypatch.setattr(packing, "checkpointed", lambda df: df)
+    monkeypatch.setattr(packing, "pack_pieces", lambda rows, *rest: rows)
+    words = ["".join(w) for w in itertools.islice(itertools.product("etaoinshrdlucmfwypvbgkjqxz", repeat=4), 150_000)]
+    texts = [" ".join(words[k : k + 5_000]) for k in range(0, len(words), 5_000)]
+    texts.append(texts[0])
+    most, got = 0, []
+    batches = (pa.RecordBatch.from_arrays([pa.array([k]), pa.array([x])], names=["doc_id", "text"]) for k, x in enumerate(texts))
+    for out in corpus_pipeline.packing_stage(spark, Docs(), "")(batches):
+        got += zip(out["doc_id"].to_pylist(), out["length"].to_pylist(), out["ids_crc32"].to_pylist())
+        most = max(most, sum(len(x) + len(x.older) for x in (made[0].cache, made[0].pieces)))
+    t = Tokenizer.from_file(tokenizer_path())
+    for k in (0, 15, 30):
+        ids = [i for x in t.encode_batch(texts[k].split(), add_special_tokens=False) for i in x.ids] + [1]
+        want = [(len(c), zlib.crc32(np.array(c, "<u4").tobytes())) for a in range(0, len(ids), packing.SIZE) for c in (ids[a : a + packing.SIZE],)]
+        assert [(n, crc) for d, n, crc in got if d == k] == want
+    assert most <= 4 * ((1 << 15) + 10_000)
