@@ -6,7 +6,8 @@ text's ids are its words' ids in order. Frequent words of the whole corpus are
 compiled into a minimal acyclic automaton with id outputs (``lexicon``), which
 is shipped to the executors as a file and mapped into memory. Words that it
 lacks are merged exactly by the tokenizer's own merge rules. Each worker keeps
-the words it met last in a bounded table.
+the words it met last in a bounded table. ``Codec.ids_of`` needs no lexicon: it
+tells a slice's words apart in Arrow and merges each distinct piece once.
 
 A text that holds the string of an added token is encoded by the tokenizer as
 a whole, as added tokens are matched before anything else. Null text counts as
@@ -57,6 +58,21 @@ def _lexicon(name: str) -> Lexicon:
     return Lexicon.open(SparkFiles.get(name))
 
 
+@lru_cache(maxsize=2)
+def _merger(path: str):
+    """The vocabulary's merges alone, for pieces with spaces between them; and which ids end a piece."""
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import WhitespaceSplit
+
+    t = _tokenizer(path)
+    m = Tokenizer(t.model)
+    m.pre_tokenizer = WhitespaceSplit()
+    suffix, vocab = t.model.end_of_word_suffix, t.get_vocab(with_added_tokens=True)
+    last = np.zeros(max(vocab.values()) + 1, bool)
+    last[[i for x, i in vocab.items() if suffix and x.endswith(suffix)]] = True
+    return m, last
+
+
 @lru_cache(maxsize=2)
 def _tokens(path: str) -> dict[int, str]:
     return {i: t for t, i in _tokenizer(path).get_vocab(with_added_tokens=True).items()}
@@ -120,6 +136,35 @@ def _byte_chars() -> dict[int, str]:
 
 
 _BYTES = {b: c for b, c in _byte_chars().items()}
+_SPELT = _BYTES | {32: " "}
+
+#: What each byte of a word is; bytes of other characters make it a word for the whole tokenizer.
+_SPACE, _LETTER, _DIGIT, _SIGN, _OTHER = range(5)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[0x21:0x7F] = _SIGN
+_KIND[0x27] = _OTHER  # the apostrophe
+_KIND[0x30:0x3A] = _DIGIT
+_KIND[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = _LETTER
+_KIND[[9, 10, 11, 12, 13, 32]] = _SPACE
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+#: The lower case of the Latin letters of two bytes (two bytes too), by code point; 0 for other characters.
+_LOWER2 = np.zeros(0x280, np.uint16)
+for _c in _LATIN[52:]:
+    _LOWER2[ord(_c)] = ord(_c.lower())
+
+
+def _spans(data: np.ndarray, starts: np.ndarray) -> pa.DictionaryArray:
+    """The spans that data falls into at starts (the first is 0), each distinct one once."""
+    offs = np.append(starts, len(data)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offs), pa.py_buffer(data)]).dictionary_encode()
+
+
+def _gathered(flat: np.ndarray, start: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """flat[start:start+n] of each item of ``at``, one after the other, and where each begins (one more entry than items)."""
+    m = n[at]
+    ends = np.concatenate([[0], np.cumsum(m)])
+    return flat[np.repeat(start[at] - ends[:-1], m) + np.arange(ends[-1])], ends
 
 
 class Recent(dict):
@@ -146,7 +191,7 @@ class Codec:
     """Encodes words through the lexicon, else by exact merges, remembering ``form(ids)`` of each word."""
 
     def __init__(self, path: str, lexicon: str | None, form: Callable[[list[int]], object], most: int = CACHE_WORDS) -> None:
-        self.tokenizer, self.form = _tokenizer(path), form
+        self.path, self.tokenizer, self.form = path, _tokenizer(path), form
         self.cache, self.pieces = Recent(most), Recent(most)
         self.lexicon = _lexicon(lexicon) if lexicon else None
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -198,6 +243,100 @@ class Codec:
                 self.cache[w] = self.form(e.ids)
 
 
+    def ids_of(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after the other, and where each text's begin (one more entry than texts). Words are
+        told apart by Arrow, and only those that differ are cut and merged; no lexicon and no ``form`` are needed."""
+        raws = text.texts(arr)
+        whole = [k for k, raw in enumerate(raws) if any(a in raw for a in self.added)]
+        for k in whole:
+            raws[k] = b""
+        data = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
+        space = _KIND[data] == _SPACE
+        starts = np.concatenate([[0], np.flatnonzero(space[:-1] & ~space[1:]) + 1])  # a word and the white space after it
+        first = np.searchsorted(starts, np.cumsum([0, *(len(raw) + 1 for raw in raws)]))
+        words = _spans(data, starts)
+        flat, start, n = self._ids_of_words(words.dictionary)
+        at = words.indices.to_numpy()
+        if whole:
+            more = [np.asarray(self.tokenizer.encode(arr[k].as_py(), add_special_tokens=False).ids, "<u4") for k in whole]
+            at = np.insert(at, first[whole], np.arange(len(n), len(n) + len(more)))
+            first = first + np.searchsorted(whole, np.arange(len(first)))
+            flat, start, n = _extended(flat, start, n, more)
+        ids, begin = _gathered(flat, start, n, at)
+        return ids, begin[first]
+
+    def _ids_of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and for each word (with white space after it) where its ids start and how many they are."""
+        offs = np.frombuffer(words.buffers()[1], np.int64)[: len(words) + 1]
+        data = _LOWER[np.frombuffer(words.buffers()[2], np.uint8)[: offs[-1]]]
+        kind = _KIND[data]
+        two = np.flatnonzero((data >= 0xC2) & (data <= 0xC9))  # white space ends every word, so there is a byte after each
+        lower = _LOWER2[(data[two] & 31).astype(np.int64) << 6 | data[two + 1] & 63]
+        known = (lower > 0) & (data[two + 1] >> 6 == 2)
+        two, lower = two[known], lower[known]
+        data[two], data[two + 1] = 0xC0 | lower >> 6, 0x80 | lower & 63
+        kind[two] = kind[two + 1] = _LETTER
+        other = np.zeros(len(words), bool)
+        other[np.searchsorted(offs, np.flatnonzero(kind == _OTHER), "right") - 1] = True
+        kind[np.repeat(other, np.diff(offs))] = _SPACE
+        new = np.empty(len(kind), bool)
+        new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT)
+        new[offs[:-1]] = True
+        starts = np.flatnonzero(new)
+        spans = _spans(data, starts)
+        empty = np.zeros(len(spans.dictionary), bool)
+        at = spans.indices.to_numpy()
+        empty[at[kind[starts] == _SPACE]] = True
+        pieces = [b"" if e else p for e, p in zip(empty.tolist(), spans.dictionary.to_pylist())]
+        self.pieces.turn()
+        self.pieces[b""] = b""
+        self._merge_pieces(self.pieces.recall(set(pieces)))
+        found = list(map(self.pieces.__getitem__, pieces))
+        n = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat, begin = _gathered(np.frombuffer(b"".join(found), "<u4"), np.cumsum(n) - n, n, at)
+        begin = begin[np.searchsorted(starts, offs)]
+        start, n = begin[:-1], np.diff(begin)
+        if other.any():
+            rest = np.flatnonzero(other)
+            texts = [w.strip() for w in words.take(pa.array(rest)).to_pylist()]
+            self.cache.turn()
+            unseen = list(self.cache.recall(set(texts)))
+            for lo in range(0, len(unseen), 20_000):
+                part = unseen[lo : lo + 20_000]
+                for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                    self.cache[w] = id_bytes(e.ids)
+            flat, start_, n_ = _extended(flat, start, n, [np.frombuffer(self.cache[w], "<u4") for w in texts])
+            start, n = start_[: len(start)], n_[: len(n)]
+            start[rest], n[rest] = start_[len(start) :], n_[len(n) :]
+        return flat, start, n
+
+    def _merge_pieces(self, new: set[bytes]) -> None:
+        """Many pieces at one call; where the ids that end a piece are not as many as the pieces, each by itself."""
+        merger, last = _merger(self.path)
+        plain = [p for p in new if p.isascii()]
+        for todo in (plain, [p for p in new if not p.isascii()]):
+            for lo in range(0, len(todo), 4096):
+                part = todo[lo : lo + 4096]
+                spelt = b" ".join(part).decode("latin-1")
+                spelt = spelt if todo is plain else spelt.translate(_SPELT)
+                ids = np.asarray(merger.encode_batch_fast([spelt], add_special_tokens=False)[0].ids, "<u4")
+                ends = (np.flatnonzero(last[ids]) + 1) * 4
+                if len(ends) == len(part) and ends[-1] == 4 * len(ids):
+                    raw, at = ids.tobytes(), 0
+                    for p, end in zip(part, ends.tolist()):
+                        self.pieces[p] = raw[at:end]
+                        at = end
+                else:
+                    for p, x in zip(part, spelt.split(" ")):
+                        self.pieces[p] = id_bytes([t.id for t in self.tokenizer.model.tokenize(x)])
+
+
+def _extended(flat: np.ndarray, start: np.ndarray, n: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """flat, start and n with those of more after them."""
+    m = np.asarray([len(x) for x in more], np.int64)
+    return np.concatenate([flat, *more]), np.concatenate([start, len(flat) + np.cumsum(m) - m]), np.concatenate([n, m])
+
+
 def _run(docs: DataFrame, text_col: str, fields: list[T.StructField], form: Callable, rows: Callable, path: str | None, use_lexicon: bool) -> DataFrame:
     path = path or tokenizer_path()
     name = compile_lexicon(docs, text_col, path) if use_lexicon else None

@@ -97,8 +97,10 @@ def pieces(docs: DataFrame, size: int = SIZE, path: str | None = None, words: in
             for batch in batches:
                 for part in text.slices(batch, "text", slice_bytes):
                     rows: list[tuple] = []
-                    for doc, found in zip(part.column(0).to_pylist(), codec.encode_slice(part.column(1))):
-                        ids = b"".join(found) + end
+                    found, begin = codec.ids_of(part.column(1))
+                    raw, at = found.tobytes(), (4 * begin).tolist()
+                    for doc, a, b in zip(part.column(0).to_pylist(), at, at[1:]):
+                        ids = raw[a:b] + end
                         rows += [(doc, k, at // 4, len(cut) // 4, zlib.crc32(cut)) for k, at in enumerate(range(0, len(ids), step)) for cut in (ids[at : at + step],)]
                     c = list(zip(*rows))
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["doc_id", "piece", "start", "length", "ids_crc32"])

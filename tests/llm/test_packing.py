@@ -1,5 +1,6 @@
 import itertools
 import random
+import sys
 import zlib
 from collections import defaultdict
 
@@ -126,3 +127,45 @@ def test_a_worker_of_the_pipeline_remembers_a_bounded_number_of_words(spark, mon
         want = [(len(c), zlib.crc32(np.array(c, "<u4").tobytes())) for a in range(0, len(ids), packing.SIZE) for c in (ids[a : a + packing.SIZE],)]
         assert [(n, crc) for d, n, crc in got if d == k] == want
     assert most <= 4 * ((1 << 15) + 10_000)
+
+
+def test_ids_equal_the_library_over_any_text_and_cut():
+    rng = random.Random(4)
+    chars = [*map(chr, range(0x260)), *"ſKİﬀ\u2028\u3000\ufeff٣²\u0301\u0307\u0331\u0338“”—€中яЖΣς😀\u200dⅧ"]
+    texts = [None, "", "  \n", "a<|endoftext|>b", "<|startoftext|>", "</w> a</w>", "don't DON'T 've'll", *(x for c in chars for x in (f"a{c}b", f"{c}{c} 1{c}A", f"$${c}'s"))]
+    some = [*chars, *"abcdeABC'  ..,,$123" * 40]
+    texts += ["".join(rng.choices(some, k=rng.randint(0, 60))) + rng.choice(["", "", "", "<|endoftext|>"]) for _ in range(1500)]
+    rng.shuffle(texts)
+    t, codec, lo = Tokenizer.from_file(tokenizer_path()), packing.Codec(tokenizer_path(), None, bytes, 300), 0
+    while lo < len(texts):
+        part = pa.array(texts, pa.string()).slice(lo, rng.randint(1, 400))
+        ids, begin = codec.ids_of(part)
+        assert len(begin) == len(part) + 1 and begin[0] == 0 and begin[-1] == len(ids)
+        for k, x in enumerate(part.to_pylist()):
+            assert ids[begin[k] : begin[k + 1]].tolist() == t.encode(x or "", add_special_tokens=False).ids, repr(x)
+        lo += len(part)
+
+
+def test_new_words_of_known_pieces_cost_less_than_a_call_each(monkeypatch):
+    class Docs:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, function, schema):
+            return function
+
+    monkeypatch.setattr(packing.F, "col", lambda name: type("Column", (), {"cast": lambda self, kind: self, "alias": lambda self, name: self})())
+    stems = ["".join(x) for x in itertools.product("aeioun", repeat=3)]
+    words = [f"{a}-{b}" for a in stems for b in stems[:150]]  # all distinct
+    run, calls = packing.pieces(Docs()), [0]
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([" ".join(words)])], names=["doc_id", "text"])
+    list(run(iter([pa.RecordBatch.from_arrays([pa.array([0]), pa.array(["ae"])], names=["doc_id", "text"])])))  # loads the vocabulary
+    try:
+        sys.setprofile(lambda frame, event, arg: calls.__setitem__(0, calls[0] + (event in ("call", "c_call"))))
+        rows = list(run(iter([batch])))
+    finally:
+        sys.setprofile(None)
+    ids = [i for x in Tokenizer.from_file(tokenizer_path()).encode_batch(words, add_special_tokens=False) for i in x.ids] + [1]
+    cut = [np.array(ids[k : k + packing.SIZE], "<u4").tobytes() for k in range(0, len(ids), packing.SIZE)]
+    assert [x for r in rows for x in r["ids_crc32"].to_pylist()] == list(map(zlib.crc32, cut))
+    assert calls[0] < len(words)
