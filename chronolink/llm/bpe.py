@@ -258,7 +258,7 @@ class Codec:
         flat, start, n = self._ids_of_words(words.dictionary)
         at = words.indices.to_numpy()
         if whole:
-            more = [np.asarray(self.tokenizer.encode(arr[k].as_py(), add_special_tokens=False).ids, "<u4") for k in whole]
+            more = [id_bytes(self.tokenizer.encode(arr[k].as_py(), add_special_tokens=False).ids) for k in whole]
             at = np.insert(at, first[whole], np.arange(len(n), len(n) + len(more)))
             first = first + np.searchsorted(whole, np.arange(len(first)))
             flat, start, n = _extended(flat, start, n, more)
@@ -305,7 +305,7 @@ class Codec:
                 part = unseen[lo : lo + 20_000]
                 for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
                     self.cache[w] = id_bytes(e.ids)
-            flat, start_, n_ = _extended(flat, start, n, [np.frombuffer(self.cache[w], "<u4") for w in texts])
+            flat, start_, n_ = _extended(flat, start, n, [self.cache[w] for w in texts])
             start, n = start_[: len(start)], n_[: len(n)]
             start[rest], n[rest] = start_[len(start) :], n_[len(n) :]
         return flat, start, n
@@ -331,10 +331,10 @@ class Codec:
                         self.pieces[p] = id_bytes([t.id for t in self.tokenizer.model.tokenize(x)])
 
 
-def _extended(flat: np.ndarray, start: np.ndarray, n: np.ndarray, more: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _extended(flat: np.ndarray, start: np.ndarray, n: np.ndarray, more: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """flat, start and n with those of more after them."""
-    m = np.asarray([len(x) for x in more], np.int64)
-    return np.concatenate([flat, *more]), np.concatenate([start, len(flat) + np.cumsum(m) - m]), np.concatenate([n, m])
+    m = np.asarray([len(x) // 4 for x in more], np.int64)
+    return np.concatenate([flat, np.frombuffer(b"".join(more), "<u4")]), np.concatenate([start, len(flat) + np.cumsum(m) - m]), np.concatenate([n, m])
 
 
 def _run(docs: DataFrame, text_col: str, fields: list[T.StructField], form: Callable, rows: Callable, path: str | None, use_lexicon: bool) -> DataFrame:
